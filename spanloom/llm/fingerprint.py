@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import cut_points, part_of
 from .shingles import WIDTH, shingle_sets
 
 FRACTION = 1 / 16
@@ -93,16 +94,9 @@ def with_predecessors(df: DataFrame, key: str, text: str, bytes_per_part: int =
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
-    size = rows.agg(F.sum(F.octet_length("__text")), F.count("*")).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size[0] or 0) // bytes_per_part))
-    keys = rows.select("__key")
-    at = keys.dropna().approxQuantile("__key", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 and size[1] else []
-    cuts = sorted({int(c) for c in at})
-    part = F.lit(0)
-    if cuts:
-        part = F.when(F.col("__key").isNull(), 0).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("__key"))))
-    rows = rows.withColumn("__part", part)
-    last = {r[0]: r[1] for r in keys.withColumn("__part", part).groupBy("__part").agg(F.max("__key")).collect()}
+    cuts = cut_points(rows, "__key", "__text", bytes_per_part)
+    rows = rows.withColumn("__part", part_of("__key", cuts))
+    last = {r[0]: r[1] for r in rows.groupBy("__part").agg(F.max("__key")).collect()}
     order = sorted(last)
     send = [(p, last[order[i - 1]]) for i, p in enumerate(order)]  # the first gets the last one's
     carried = spark.createDataFrame(send, "p int, k long").groupBy("k").agg(F.collect_list(F.struct("p", F.lit(False).alias("own"))).alias("__more"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing
+from . import fingerprint, mixing, token_file
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written as rANS blocks and read back."""
+    path = token_file.new_path(spark)
+    token_file.write(_read(spark, sf_dir, "documents"), path)
+    return token_file.read(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op6_mixing": op6_mixing,
+    "op10_token_files": op10_token_files,
 }
 
 #: The level of the targets in closed form: with sources ordered by cap over weight, the first at which
