@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, token_file
+from . import fingerprint, mixing, sentencepiece_ids, token_file
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, decoded again and held against the reference library."""
+    return sentencepiece_ids.verified(sentencepiece_ids.encode(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness."""
     return fingerprint.edited_pairs(_read(spark, sf_dir, "documents"))
@@ -39,6 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_fingerprints": op4_fingerprints,
     "op6_mixing": op6_mixing,
     "op10_token_files": op10_token_files,
