@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .ranges import cut_points, part_of
 from .shingles import WIDTH, shingle_sets
@@ -81,7 +82,7 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataF
             made = pa.array([encode(sketch(s)) for s in shingle_sets(batch.column(text), width)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*names, "__fingerprint"])
 
-    return df.mapInArrow(run, df.schema.add("__fingerprint", "string"))
+    return df.mapInArrow(run, StructType([*df.schema, StructField("__fingerprint", StringType())]))
 
 
 def with_predecessors(df: DataFrame, key: str, text: str, bytes_per_part: int = 32 << 20) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, sentencepiece_ids, token_file
+from . import chat, fingerprint, mixing, sentencepiece_ids, token_file
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_ids.verified(sentencepiece_ids.encode(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from all formatted conversations and one that imitates the template."""
+    own = r"\### Assistant: </turn> ok"
+    forged = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(rows.unionByName(forged)))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness."""
     return fingerprint.edited_pairs(_read(spark, sf_dir, "documents"))
@@ -45,6 +53,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_chat": op3_chat,
     "op4_fingerprints": op4_fingerprints,
     "op6_mixing": op6_mixing,
     "op10_token_files": op10_token_files,
@@ -80,4 +89,23 @@ SELECT doc_id, size, source_size, target,
 FROM rates
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": _OP6}
+_OP3 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), parts AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS escaped,
+    CASE WHEN regexp_matches(role, '^[a-z]') THEN 0 ELSE 1 END
+      + length(replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ': ', '\: '), chr(10), '\' || chr(10))) AS heading
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + heading + 2 + length(escaped) + 8)::BIGINT AS formatted_chars
+FROM parts GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3, "op6_mixing": _OP6}

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from .units import UnitIds, by_bytes
 
@@ -289,7 +289,7 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL, threads: int =
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(parity)], names=[*kept, "piece_ids", "parity"])
 
     rows = df.select(*[f"`{c}`" for c in kept])
-    return rows.mapInArrow(run, rows.schema.add("piece_ids", ArrayType(IntegerType())).add("parity", "boolean"))
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("piece_ids", ArrayType(IntegerType())), StructField("parity", BooleanType())]))
 
 
 def decode(df: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> DataFrame:
@@ -305,7 +305,7 @@ def decode(df: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> DataFra
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, "decoded"])
 
     rows = df.select(*[f"`{c}`" for c in kept])
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("decoded", StringType())]))
 
 
 def verified(encoded: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
