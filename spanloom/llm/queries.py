@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, sentencepiece_ids, token_file
+from . import chat, fingerprint, language, mixing, sentencepiece_ids, token_file
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages; a quarter of the documents, by key, is held out of the fit."""
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language.fit(docs.filter(~held))
+    found = language.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as rANS blocks and read back."""
     path = token_file.new_path(spark)
@@ -56,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
     "op4_fingerprints": op4_fingerprints,
     "op6_mixing": op6_mixing,
+    "op7_language": op7_language,
     "op10_token_files": op10_token_files,
 }
 
