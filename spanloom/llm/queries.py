@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, language, mixing, pii, sentencepiece_ids, token_file
+from . import chat, embedding_dedup, fingerprint, language, mixing, pii, sentencepiece_ids, token_file
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(_read(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link counts and components of all vectors."""
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     mixed = mixing.mix_counts(_read(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_chat": op3_chat,
     "op4_fingerprints": op4_fingerprints,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op9_pii": op9_pii,
@@ -124,4 +130,19 @@ SELECT conv_id, count(*) AS n_turns,
 FROM parts GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3, "op6_mixing": _OP6}
+#: For vectors without null, zero or non-finite components.
+_OP5 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), n AS (
+  SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.9
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, min(b) AS component_id, vec_id = min(b) AS kept
+FROM v JOIN reach ON reach.a = vec_id GROUP BY vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3, "op5_embedding_dedup": _OP5, "op6_mixing": _OP6}
