@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, fingerprint, language, mixing, pii, sentencepiece_ids, token_file
+from . import chat, embedding_dedup, fingerprint, jaccard_join, language, mixing, pii, sentencepiece_ids, token_file
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set sizes and components of all documents."""
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its personal data replaced by pseudonyms."""
     return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_pii": op9_pii,
     "op10_token_files": op10_token_files,
 }
@@ -145,4 +151,23 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, m
 FROM v JOIN reach ON reach.a = vec_id GROUP BY vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3, "op5_embedding_dedup": _OP5, "op6_mixing": _OP6}
+_OP8 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS grams FROM words
+), sized AS (
+  SELECT doc_id, len(grams) AS n, grams FROM sets
+), flat AS (
+  SELECT doc_id, n, unnest(grams) AS gram FROM sized
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM sized UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT doc_id, n::BIGINT AS n_shingles, min(b) AS component_id FROM sized JOIN reach ON a = doc_id GROUP BY doc_id, n
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3, "op5_embedding_dedup": _OP5, "op6_mixing": _OP6, "op8_jaccard_join": _OP8}
