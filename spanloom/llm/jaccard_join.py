@@ -234,7 +234,9 @@ def _linked(pairs: DataFrame, survivors: DataFrame, buckets: int, percent: int)
 def _groups(survivors: DataFrame, buckets: int, percent: int) -> DataFrame:
     """``node, component`` of the classes that links connect."""
     spark = survivors.sparkSession
-    postings = survivors.select("node", "n", F.explode("prefix").alias("gram"))
+    # An n-gram's position counts those that only this class has, which come before all shared ones.
+    alone = F.col("n") - F.octet_length("hashes") / 8
+    postings = survivors.select("node", "n", alone.cast("long").alias("alone"), F.posexplode("prefix").alias("position", "gram")).withColumn("position", F.col("alone") + F.col("position")).drop("alone")
     counts = postings.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
     postings = table(postings.join(counts, "gram").withColumn("place", F.shiftrightunsigned(F.xxhash64("node"), 1) / F.lit(float(1 << 63))), "postings")
     links = tried = parts = None
@@ -251,8 +253,11 @@ def _groups(survivors: DataFrame, buckets: int, percent: int) -> DataFrame:
             break
         # Pivots of this round are those whose place is in the next interval; a place stands for a rank.
         ahead = now.filter((F.col("m") > before) & (F.col("place") * F.col("m") >= before) & (F.col("place") * F.col("m") < F.when(F.col("m") <= pivots, F.lit(float("inf"))).otherwise(F.lit(pivots))))
-        p = ahead.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"))
-        met = p.join(now, "gram").filter((F.struct("place", "node") > F.struct("pa", "a")) & (F.col("component") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
+        p = ahead.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"), F.col("position").alias("ra"))
+        # The overlap that the two sizes ask for; the first n-gram that a linked pair shares leaves room for it in both.
+        need = F.ceil(percent * (F.col("n") + F.col("na")) / (100 + percent))
+        room = (F.col("ra") + need <= F.col("na")) & (F.col("position") + need <= F.col("n"))
+        met = p.join(now, "gram").filter((F.struct("place", "node") > F.struct("pa", "a")) & (F.col("component") != F.col("ca")) & room)
         pairs = met.select("a", F.col("node").alias("b"), (F.col("n") + F.col("na")).alias("n")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
