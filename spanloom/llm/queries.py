@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, fingerprint, jaccard_join, language, mixing, pii, sentencepiece_ids, token_file
+from . import chat, embedding_dedup, fingerprint, jaccard_join, language, mixing, pii, sentencepiece_ids, token_file, url_trust
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages by rules and by trust and distrust of hosts."""
+    return url_trust.judge(_read(spark, sf_dir, "pages"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every text, decoded again and held against the reference library."""
     return sentencepiece_ids.verified(sentencepiece_ids.encode(_read(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -76,6 +81,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_trust": op1_url_trust,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_chat": op3_chat,
     "op4_fingerprints": op4_fingerprints,
@@ -170,4 +176,4 @@ WITH RECURSIVE words AS (
 SELECT doc_id, n::BIGINT AS n_shingles, min(b) AS component_id FROM sized JOIN reach ON a = doc_id GROUP BY doc_id, n
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3, "op5_embedding_dedup": _OP5, "op6_mixing": _OP6, "op8_jaccard_join": _OP8}
+ORACLE_SQL: dict[str, str] = {"op1_url_trust": url_trust.sql(), "op3_chat": _OP3, "op5_embedding_dedup": _OP5, "op6_mixing": _OP6, "op8_jaccard_join": _OP8}
