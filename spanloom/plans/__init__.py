@@ -1,0 +1,7 @@
+"""The query slate: every module has ``QUERIES`` and the ``ORACLE_SQL`` of most of them."""
+
+from . import retrieval_queries, sequence_queries
+
+_MODULES = (retrieval_queries, sequence_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
