@@ -1,7 +1,6 @@
-"""The query slate: every module has ``QUERIES`` and the ``ORACLE_SQL`` of most of them."""
+"""The query slate: modules with ``QUERIES``, and the SQL of most of them."""
 
-from . import retrieval_queries, sequence_queries
+from . import analysis_queries, analysis_sql, retrieval_queries, sequence_queries
 
-_MODULES = (retrieval_queries, sequence_queries)
-QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
-ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
+QUERIES = {**retrieval_queries.QUERIES, **sequence_queries.QUERIES, **analysis_queries.QUERIES}
+ORACLE_SQL = {**retrieval_queries.ORACLE_SQL, **sequence_queries.ORACLE_SQL, **analysis_sql.ORACLE_SQL}

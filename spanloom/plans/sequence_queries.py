@@ -66,7 +66,7 @@ def rolling_zscore(spark, d):
     """Mean, deviation, z-score and slope over the last 100 values of each event type."""
     e = read(spark, d, "events")
     r = sequence.rolling(e, "event_type", ORDER, "value", 100)
-    return _rounded(r.select("event_id", "mean", "z", "slope"), "mean", "z", "slope")
+    return _rounded(r.select("event_id", F.round("mean", 9).alias("mean"), "z", "slope"), "z", "slope")
 
 
 def ewma_fold(spark, d):
@@ -132,7 +132,7 @@ ORACLE_SQL = {
         SELECT user_id, n, round(complexity, 6) AS complexity, round(sophistication, 6) AS sophistication, round(depth, 6) AS depth, round(difficulty, 6) AS difficulty, CASE WHEN difficulty <= a THEN 'easy' WHEN difficulty <= b THEN 'medium' ELSE 'hard' END AS bin FROM scored, c""",
     "rolling_zscore": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos FROM events),
         s AS (SELECT *, avg(value) OVER w AS mean, stddev_pop(value) OVER w + 1e-8 AS dev, regr_slope(value, pos) OVER w AS slope FROM r WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
-        SELECT event_id, round(mean, 6) + 0.0 AS mean, round(CASE WHEN pos < 10 THEN value ELSE (value - mean) / dev END, 6) AS z, round(slope, 6) + 0.0 AS slope FROM s""",
+        SELECT event_id, round(mean, 9) AS mean, round(CASE WHEN pos < 10 THEN value ELSE (value - mean) / dev END, 6) AS z, CASE WHEN isnan(slope) THEN NULL ELSE round(slope, 6) + 0.0 END AS slope FROM s""",
     "ewma_fold": "SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: a * (1 - 0.05::DOUBLE) + x * 0.05::DOUBLE), 6) AS ewma FROM events GROUP BY user_id",
     "grpo_group_normalise": """WITH p AS (SELECT *, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1) // 4 AS g FROM lineitem),
         a AS (SELECT l_suppkey, (l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey, g)) / (coalesce(stddev_samp(l_quantity) OVER (PARTITION BY l_suppkey, g), 0) + 1e-8) AS x FROM p),
