@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece: ids of every text, and whether they decode to it."""
-    return sentencepiece_ids.verified(sentencepiece_ids.encode(docs.select("doc_id", "text")))
+    return sentencepiece_ids.verified(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

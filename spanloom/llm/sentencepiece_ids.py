@@ -22,6 +22,7 @@ character map reads as a blank.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from .units import UnitIds, by_bytes
@@ -162,33 +164,49 @@ class Pieces:
     def __init__(self, path: str, threads: int = THREADS, check: bool = True):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        from tokenizers import Tokenizer
-
         with open(path, "rb") as file:
             raw = file.read()
-        self.model = parse(raw)
-        self.tokenizer = build(self.model)
-        spec = json.loads(self.tokenizer.to_str())
-        spec["normalizer"] = None
-        self.bare = Tokenizer.from_str(json.dumps(spec))
-        self.reference = self.bare_reference = None
-        if check:
-            from sentencepiece import SentencePieceProcessor
-
-            self.reference = SentencePieceProcessor(model_proto=raw)
-            # A second normaliser message is merged into the first: field 3, add_dummy_prefix, is 0.
-            self.bare_reference = SentencePieceProcessor(model_proto=raw + b"\x1a\x02\x18\x00")
+        self.model, self.check, self.file = parse(raw), check, raw
         plain = [p for p, _, k in self.model.pieces if k in (NORMAL, USER)]
         self.by_unit = self.model.kind == BPE and self.model.dummy_prefix and not self.model.charsmap and not self.model.extra_spaces and not any(MARK in p.lstrip(MARK) for p in plain)
         self.by_point = not any(re.search(f"[{LETTER}]{POINT}", p) for p in plain)
         self.by_line = not any("\n" in p and len(p) > 1 for p in plain)
-        self.units = UnitIds(self._encode_units, 600_000)
+        self.units = UnitIds(self._encode_units, 150_000)
         self.wrong: set[str] = set()
         self.raw = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces], pa.binary())
 
+    # Built when first asked for: a worker that decodes needs none of these.
+    @functools.cached_property
+    def tokenizer(self):
+        """The tokenizer for whole texts."""
+        return build(self.model)
+
+    @functools.cached_property
+    def bare(self):
+        """The tokenizer for units, which are normalised already."""
+        from tokenizers import Tokenizer
+
+        spec = json.loads(self.tokenizer.to_str())
+        spec["normalizer"] = None
+        return Tokenizer.from_str(json.dumps(spec))
+
+    @functools.cached_property
+    def reference(self):
+        """The sentencepiece library's encoder for whole texts."""
+        from sentencepiece import SentencePieceProcessor
+
+        return SentencePieceProcessor(model_proto=self.file)
+
+    @functools.cached_property
+    def bare_reference(self):
+        """The same for units: a second normaliser message, merged into the first, sets add_dummy_prefix to 0."""
+        from sentencepiece import SentencePieceProcessor
+
+        return SentencePieceProcessor(model_proto=self.file + b"\x1a\x02\x18\x00")
+
     def _encode_units(self, units: list[str]) -> list[list[int]]:
         found = [e.ids for e in self.bare.encode_batch_fast(units, add_special_tokens=False)]
-        if self.bare_reference is not None:
+        if self.check:
             if not self.units.index:
                 self.wrong = set()
             theirs = self.bare_reference.encode(units, num_threads=1)
@@ -220,7 +238,7 @@ class Pieces:
             return ids, at, right
         texts = column.filter(pa.array(odd)).to_pylist()
         whole = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        agree = [a == b for a, b in zip(whole, self.reference.encode(texts, num_threads=1), strict=True)] if self.reference else [True] * len(whole)
+        agree = [a == b for a, b in zip(whole, self.reference.encode(texts, num_threads=1), strict=True)] if self.check else [True] * len(whole)
         rest, w, u = np.split(ids, at[1:-1]), 0, 0
         rows, parity = [], np.ones(len(odd), dtype=bool)
         for i, o in enumerate(odd):
@@ -308,8 +326,8 @@ def decode(df: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> DataFra
     return rows.mapInArrow(run, StructType([*rows.schema, StructField("decoded", StringType())]))
 
 
-def verified(encoded: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
-    """``doc_id, n_tokens, ids_crc32, parity, round_trip`` of rows that :func:`encode` made.
+def verified(df: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, threads: int = THREADS) -> DataFrame:
+    """``doc_id, n_tokens, ids_crc32, parity, round_trip`` of all texts, encoded and decoded in one pass.
 
     ``ids_crc32`` is of the ids as little-endian unsigned 32-bit integers; ``round_trip`` says that the
     decoded ids are the text again.
@@ -317,14 +335,17 @@ def verified(encoded: DataFrame, key: str = "doc_id", text: str = "text", model:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("parity", pa.bool_()), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = pieces(model, THREADS, False)
+        encoder = pieces(model, threads)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                names, texts, lists, parity = batch.slice(lo, 1024).columns
-                same = [a == (b or "") for a, b in zip(decoder.decode(lists), texts.to_pylist(), strict=True)]
-                at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                raw = memoryview(lists.flatten().to_numpy().astype("<u4").tobytes())
+            names, column = batch.columns
+            for lo, hi in by_bytes(column, 2 << 20):
+                texts = column.slice(lo, hi - lo)
+                ids, at, parity = encoder.ids(texts)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
+                same = [a == (b or "") for a, b in zip(encoder.decode(lists), texts.to_pylist(), strict=True)]
+                raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([names.cast(pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64()), parity, pa.array(same)], schema=schema)
+                yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64()), pa.array(parity), pa.array(same)], schema=schema)
+            pa.default_memory_pool().release_unused()
 
-    return encoded.select(key, text, "piece_ids", "parity").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean")
+    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean")
