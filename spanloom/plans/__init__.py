@@ -1,6 +1,6 @@
 """The query slate: modules with ``QUERIES``, and the SQL of most of them."""
 
-from . import analysis_queries, analysis_sql, retrieval_queries, sequence_queries
+from . import analysis_queries, analysis_sql, generation_queries, retrieval_queries, sequence_queries
 
-QUERIES = {**retrieval_queries.QUERIES, **sequence_queries.QUERIES, **analysis_queries.QUERIES}
-ORACLE_SQL = {**retrieval_queries.ORACLE_SQL, **sequence_queries.ORACLE_SQL, **analysis_sql.ORACLE_SQL}
+QUERIES = {**retrieval_queries.QUERIES, **sequence_queries.QUERIES, **analysis_queries.QUERIES, **generation_queries.QUERIES}
+ORACLE_SQL = {**retrieval_queries.ORACLE_SQL, **sequence_queries.ORACLE_SQL, **analysis_sql.ORACLE_SQL, **generation_queries.ORACLE_SQL}
