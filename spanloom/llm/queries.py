@@ -20,7 +20,7 @@ def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, decoded again and held against the reference library."""
+    """Piece ids of every text, decoded again and held against the sentencepiece library."""
     return sentencepiece_ids.verified(_read(spark, sf_dir, "documents"))
 
 
