@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .units import settle
+
 PROFILE = 400
 DOC_GRAMS = 300
 DOCS_PER_LANG = 1000
@@ -133,5 +135,6 @@ def identify(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame
                 part = batch.slice(lo, 1024)
                 found = [profiles.predict(t.as_py()) for t in part.column(kept.index(text))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*kept, "lang_pred", "score"])
+        settle()
 
     return rows.mapInArrow(run, StructType([*rows.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from .units import UnitIds, by_bytes
+from .units import UnitIds, by_bytes, settle
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -288,6 +288,12 @@ def pieces(name: str = MODEL, threads: int = THREADS, check: bool = True) -> Pie
     return _loaded[key]
 
 
+def _release() -> None:
+    """Drops this worker's encoders when a task ends; the next task that needs one builds it again."""
+    _loaded.clear()
+    settle()
+
+
 def encode(df: DataFrame, text: str = "text", model: str = MODEL, threads: int = THREADS, check: bool = True) -> DataFrame:
     """``df`` with ``piece_ids`` and ``parity``.
 
@@ -305,6 +311,8 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL, threads: int =
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(parity)], names=[*kept, "piece_ids", "parity"])
+        del encoder
+        _release()
 
     rows = df.select(*[f"`{c}`" for c in kept])
     return rows.mapInArrow(run, StructType([*rows.schema, StructField("piece_ids", ArrayType(IntegerType())), StructField("parity", BooleanType())]))
@@ -346,6 +354,7 @@ def verified(df: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64()), pa.array(parity), pa.array(same)], schema=schema)
-            pa.default_memory_pool().release_unused()
+        del encoder
+        _release()
 
     return df.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean")

@@ -8,6 +8,8 @@ once, and numpy expands ids by index.  Units met before come from a cache that i
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -78,3 +80,12 @@ def by_bytes(column: pa.Array, most: int = 4 << 20):
         held += n
     if lo < len(sizes):
         yield lo, len(sizes)
+
+
+def settle() -> None:
+    """Gives memory that a task no longer needs back to the system, as Spark keeps workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
