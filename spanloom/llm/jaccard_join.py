@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import table
 from .shingles import WIDTH, shingle_sets
-from .units import by_bytes
+from .units import by_bytes, settle
 
 PERCENT = 75
 FRAGMENT_BYTES = 32 << 20
 #: Bytes of sets in one bucket of the overlap count, and the fragments that it counts apart.
 BUCKET_BYTES = 16 << 20
-OVERLAP_FRAGMENTS = 4
-PIVOTS, GROWTH = 4, 16
+OVERLAP_FRAGMENTS = 3
+PIVOTS, GROWTH = 4, 8
 
 
 def _digest(hashes: np.ndarray) -> int:
@@ -61,6 +61,7 @@ def sizes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
             for lo, hi in by_bytes(column):
                 sets = shingle_sets(column.slice(lo, hi - lo), width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64())], names=["key", "n", "set"])
+        settle()
 
     return df.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "key long, n long, set long")
 
@@ -99,7 +100,7 @@ def _segments(df: DataFrame, text: str, width: int, fragments: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
-            for lo, hi in by_bytes(column, 8 << 20):
+            for lo, hi in by_bytes(column):
                 classes = {_digest(s): s for s in shingle_sets(column.slice(lo, hi - lo), width) if len(s)}
                 if not classes:
                     continue
@@ -120,6 +121,7 @@ def _segments(df: DataFrame, text: str, width: int, fragments: int) -> DataFrame
                         lengths = np.diff(np.concatenate([first, [len(own)]])).astype("<u4")
                         made.append((f, _pack(names[own[first]], lengths, hashes[ends[f] : ends[f + 1]], names[mine], n[mine])))
                 yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], names=["fragment", "blob"])
+        settle()
 
     return df.select(text).mapInArrow(run, "fragment int, blob binary")
 
@@ -213,6 +215,7 @@ def _cut(survivors: DataFrame, fragments: int) -> DataFrame:
                 for f, x in enumerate(np.split(x := np.frombuffer(raw, dtype="<u8"), np.searchsorted(x, cuts))):
                     names.append(name), parts.append(f), blobs.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["node", "fragment", "hashes"])
+        settle()
 
     return survivors.select("node", "hashes").mapInArrow(run, "node long, fragment int, hashes binary")
 
@@ -222,11 +225,10 @@ def _linked(pairs: DataFrame, survivors: DataFrame, buckets: int, percent: int)
     sets = _cut(survivors, OVERLAP_FRAGMENTS)
     placed = pairs.withColumn("bucket", F.pmod(F.xxhash64("b"), F.lit(buckets)).cast("int"))
     none, blank = F.lit(0).cast("long"), F.lit(None).cast("binary")  # no nulls among the longs, which numpy would turn into doubles
-    row = lambda kind, x, y, n, hashes: ["bucket", "fragment", F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), n.alias("n"), hashes.alias("hashes")]
-    pivots = placed.select("bucket", F.col("a").alias("node")).distinct().join(sets, "node").select(*row(1, F.col("node"), none, none, F.col("hashes")))
-    others = placed.select("bucket", F.col("b").alias("node")).distinct().join(sets, "node").select(*row(2, F.col("node"), none, none, F.col("hashes")))
-    asked = placed.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(OVERLAP_FRAGMENTS - 1)))).select(*row(0, F.col("a"), F.col("b"), F.col("n"), blank))
-    counted = pivots.unionAll(others).unionAll(asked).groupBy("bucket", "fragment").applyInArrow(_overlaps, "a long, b long, n long, partial long")
+    named = placed.select("bucket", F.col("a").alias("node"), F.lit(1).alias("kind")).union(placed.select("bucket", "b", F.lit(2))).distinct()
+    needed = named.join(sets, "node").select("bucket", "fragment", "kind", F.col("node").alias("x"), none.alias("y"), none.alias("n"), "hashes")
+    asked = placed.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(OVERLAP_FRAGMENTS - 1)))).select("bucket", "fragment", F.lit(0).alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"), "n", blank.alias("hashes"))
+    counted = needed.unionAll(asked).groupBy("bucket", "fragment").applyInArrow(_overlaps, "a long, b long, n long, partial long")
     whole = counted.groupBy("a", "b", "n").agg(F.sum("partial").alias("overlap"))
     return whole.filter(100 * F.col("overlap") >= percent * (F.col("n") - F.col("overlap"))).select("a", "b")
 
@@ -241,14 +243,12 @@ def _groups(survivors: DataFrame, buckets: int, percent: int) -> DataFrame:
     postings = table(postings.join(counts, "gram").withColumn("place", F.shiftrightunsigned(F.xxhash64("node"), 1) / F.lit(float(1 << 63))), "postings")
     links = tried = parts = None
     pivots, before = PIVOTS, 0
+    now = postings.withColumn("component", F.col("node"))
     while True:
-        now = postings
-        if parts is not None:
-            known = postings.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_ = known.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("gram")
-            now = table(known.join(open_, "gram"), "open")
-        else:
-            now = postings.withColumn("component", F.col("node"))
+        if parts is not None:  # postings that are finished, or within one component, stay out from here on
+            known = now.filter(F.col("m") > before).drop("component").join(parts.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = known.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("gram")
+            now = table(known.join(mixed, "gram").select(*now.columns), "open")
         if now.filter(F.col("m") > before).isEmpty():
             break
         # Pivots of this round are those whose place is in the next interval; a place stands for a rank.
@@ -260,9 +260,9 @@ def _groups(survivors: DataFrame, buckets: int, percent: int) -> DataFrame:
         met = p.join(now, "gram").filter((F.struct("place", "node") > F.struct("pa", "a")) & (F.col("component") != F.col("ca")) & room)
         pairs = met.select("a", F.col("node").alias("b"), (F.col("n") + F.col("na")).alias("n")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = table(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         if not pairs.isEmpty():
             found = table(_linked(pairs, survivors, buckets, percent), "links")
             links = found if links is None else links.union(found)
