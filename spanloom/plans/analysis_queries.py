@@ -90,10 +90,10 @@ def question_type(spark, d):
 
 
 def cer_normalised_edit(spark, d):
-    """Edit distances between the openings (80 letters, in ASCII) of neighbouring conversations."""
-    t = read(spark, d, "conversations").filter("turn = 0").select("conv_id", F.regexp_replace(F.substring("text", 1, 80), "[^ -~]", "?").alias("t"))
-    o = t.select((F.col("conv_id") - 1).alias("conv_id"), F.col("t").alias("o"))
-    return _six(t.join(o, "conv_id").select("conv_id", scalar.character_error(F.col("t"), F.col("o")).alias("cer"), scalar.edit_similarity(F.col("t"), F.col("o")).alias("distance")), "cer", "distance")
+    """Edit distances between the whole texts of a turn in neighbouring conversations, by code points."""
+    t = read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
+    o = t.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("t").alias("o"))
+    return _six(t.join(o, ["conv_id", "turn"]).select("conv_id", "turn", scalar.character_error(F.col("t"), F.col("o")).alias("cer"), scalar.edit_similarity(F.col("t"), F.col("o")).alias("distance")), "cer", "distance")
 
 
 def timecode_suite(spark, d):
