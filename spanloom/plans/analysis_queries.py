@@ -68,8 +68,8 @@ def pii_detect_counts(spark, d):
 
 
 def pii_risk(spark, d):
-    """Risk points and levels of documents."""
-    counts = {n: privacy.count(F.col("text"), n) for n in ("email", "ssn", "ip_address", "aws_access_key", "api_key", "mac_address")}
+    """Risk points and levels of documents, over every category of the catalog."""
+    counts = {n: privacy.count(F.col("text"), n) for n, *_ in privacy.CATALOG}
     points, level = privacy.risk(counts)
     return read(spark, d, "documents").select("doc_id", points.cast("long").alias("points"), level.alias("level"))
 

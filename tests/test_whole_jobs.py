@@ -1,8 +1,11 @@
 """Queries that once did less than the whole job, against brute force over whole tables."""
 
+import re
+
 import pytest
 
 from spanloom import plans
+from spanloom.functions import privacy
 
 
 @pytest.fixture
@@ -39,3 +42,20 @@ def test_edit_distances_of_whole_texts(spark, folder):
             n = _edits(x, y)
             want[c, t] = (round(n / len(y), 6) if y else float(bool(x)), round(n / max(len(x), len(y), 1), 6))
     assert got == want and got[1, 0][1] > 0
+
+
+def test_risk_sums_every_category(spark, folder):
+    texts = ["card 4111-1111-1111-1111", "call +1 (555) 123-4567", "MRN:1234567", "@someone", "born 01-02-1990", "AB1234567", "nothing here", None]
+    d = folder(documents=(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: (r.points, r.level) for r in plans.QUERIES["pii_risk"](spark, d).collect()}
+    for i, text in enumerate(texts):
+        points = sum(len(re.findall(p, text or "", re.I | re.M)) * privacy.RISK[r] for _, p, _, r in privacy.CATALOG)
+        assert got[i] == (points, "none" if points == 0 else "low" if points < 10 else "medium" if points < 50 else "high")
+    assert got[0][0] >= 10 and got[1][0] >= 10 and got[3] == (1, "low") and got[6] == got[7] == (0, "none")
+
+
+def test_risk_matches_whole_sql(spark, duck, sf_dir):
+    count = lambda p: f"coalesce(len(regexp_extract_all(text, '{(privacy.FLAGS + p).replace(chr(39), chr(39) * 2)}')), 0)"
+    points = " + ".join(f"{count(p)} * {privacy.RISK[r]}" for _, p, _, r in privacy.CATALOG)
+    want = duck.sql(f"SELECT doc_id, ({points})::BIGINT FROM documents").fetchall()
+    assert sorted(want) == sorted((r.doc_id, r.points) for r in plans.QUERIES["pii_risk"](spark, sf_dir).collect())
