@@ -14,7 +14,11 @@ def profile(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def fleiss_kappa(df: DataFrame, item: str, category: str) -> DataFrame:
-    """Fleiss' kappa of items rated by equally many raters; 1 where chance agreement is full."""
+    """Fleiss' kappa; 1 where chance agreement is full.
+
+    Items may have different numbers of ratings: agreement is the mean over items with two at least,
+    chance the squared shares of categories over all ratings.
+    """
     counts = df.groupBy(item, category).count()
     per_item = counts.groupBy(item).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq"))
     observed = per_item.filter("n > 1").agg(F.avg((F.col("sq") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("observed"))
@@ -24,11 +28,17 @@ def fleiss_kappa(df: DataFrame, item: str, category: str) -> DataFrame:
 
 
 def icc(df: DataFrame, item: str, rating: str) -> DataFrame:
-    """One-way random intraclass correlation of single ratings, for equally many ratings per item."""
-    per_item = df.groupBy(item).agg(F.avg(rating).alias("m"), F.count("*").alias("k"), F.sum(F.col(rating) * F.col(rating)).alias("sq"))
-    s = per_item.agg(F.count("*").alias("n"), F.avg("k").alias("k"), F.var_samp("m").alias("between"), F.sum(F.col("sq") - F.col("k") * F.col("m") * F.col("m")).alias("within"))
-    msb, msw = F.col("k") * F.col("between"), F.col("within") / (F.col("n") * (F.col("k") - 1))
-    return s.select("n", msb.alias("msb"), msw.alias("msw"), ((msb - msw) / (msb + (F.col("k") - 1) * msw)).alias("icc"))
+    """One-way random intraclass correlation of single ratings, for any numbers of ratings per item; null ratings don't count.
+
+    For unequal numbers the group size is ``k0 = (N - sum(k^2) / N) / (n - 1)``, which is ``k`` for equal ones.
+    """
+    k = F.col("k").cast("double")
+    per_item = df.groupBy(item).agg(F.avg(rating).alias("m"), F.count(rating).alias("k"), F.var_pop(rating).alias("v")).filter("k > 0")
+    s = per_item.agg(F.count("*").alias("n"), F.sum(k).alias("all"), F.sum(k * k).alias("kk"), F.sum(k * F.col("m")).alias("km"), F.sum(k * F.col("m") * F.col("m")).alias("kmm"), F.sum(k * F.col("v")).alias("within"))
+    msb = F.try_divide(F.col("kmm") - F.col("km") * F.col("km") / F.col("all"), F.col("n") - 1)
+    msw = F.try_divide("within", F.col("all") - F.col("n"))
+    k0 = F.try_divide(F.col("all") - F.col("kk") / F.col("all"), F.col("n") - 1)
+    return s.select("n", msb.alias("msb"), msw.alias("msw"), F.try_divide(msb - msw, msb + (k0 - 1) * msw).alias("icc"))
 
 
 def weighted_kappa(df: DataFrame, a: str, b: str, levels: int) -> DataFrame:

@@ -121,17 +121,13 @@ def priority_decay(spark, d):
 
 
 def fleiss_kappa(spark, d):
-    """Agreement of four lines' flags per order."""
-    li = read(spark, d, "lineitem").withColumn("at", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"))).filter("at <= 2")
-    full = li.groupBy("l_orderkey").count().filter("count = 2").select("l_orderkey")
-    return _six(statistics.fleiss_kappa(li.join(full, "l_orderkey"), "l_orderkey", "l_returnflag"), "observed", "chance", "kappa")
+    """Agreement of the flags of all lines per order."""
+    return _six(statistics.fleiss_kappa(read(spark, d, "lineitem"), "l_orderkey", "l_returnflag"), "observed", "chance", "kappa")
 
 
 def icc(spark, d):
-    """Intraclass correlation of quantities within orders of two lines."""
-    li = read(spark, d, "lineitem")
-    two = li.groupBy("l_orderkey").count().filter("count = 2").select("l_orderkey")
-    return _six(statistics.icc(li.join(two, "l_orderkey"), "l_orderkey", "l_quantity"), "msb", "msw", "icc")
+    """Intraclass correlation of the quantities of all lines within orders."""
+    return _six(statistics.icc(read(spark, d, "lineitem"), "l_orderkey", "l_quantity"), "msb", "msw", "icc")
 
 
 def cohen_weighted(spark, d):

@@ -59,3 +59,37 @@ def test_risk_matches_whole_sql(spark, duck, sf_dir):
     points = " + ".join(f"{count(p)} * {privacy.RISK[r]}" for _, p, _, r in privacy.CATALOG)
     want = duck.sql(f"SELECT doc_id, ({points})::BIGINT FROM documents").fetchall()
     assert sorted(want) == sorted((r.doc_id, r.points) for r in plans.QUERIES["pii_risk"](spark, sf_dir).collect())
+
+
+LINES = [(1, "A", 3.0), (2, "A", 5.0), (2, "R", 7.0), (3, "N", 1.0), (3, "N", 2.0), (3, "A", 9.0), (4, "R", 8.0), (4, "R", 8.0), (4, "R", 7.0), (4, "N", 20.0), (5, "N", 4.0), (5, "N", 6.0)]
+
+
+def test_agreement_takes_all_lines(spark, folder):
+    d = folder(lineitem=(LINES, "l_orderkey long, l_returnflag string, l_quantity double"))
+    flags, quantities = {}, {}
+    for o, f, q in LINES:
+        flags.setdefault(o, []).append(f)
+        quantities.setdefault(o, []).append(q)
+    observed = [sum(a == b for i, a in enumerate(x) for j, b in enumerate(x) if i != j) / (len(x) * (len(x) - 1)) for x in flags.values() if len(x) > 1]
+    observed, chance = sum(observed) / len(observed), sum((sum(f == c for _, f, _ in LINES) / len(LINES)) ** 2 for c in "ANR")
+    got = plans.QUERIES["fleiss_kappa"](spark, d).first()
+    assert (got.observed, got.chance, got.kappa) == pytest.approx((observed, chance, (observed - chance) / (1 - chance)), abs=1e-6)
+
+    all_, n, mean = len(LINES), len(quantities), sum(q for *_, q in LINES) / len(LINES)
+    msb = sum(len(x) * (sum(x) / len(x) - mean) ** 2 for x in quantities.values()) / (n - 1)
+    msw = sum((q - sum(x) / len(x)) ** 2 for x in quantities.values() for q in x) / (all_ - n)
+    k0 = (all_ - sum(len(x) ** 2 for x in quantities.values()) / all_) / (n - 1)
+    got = plans.QUERIES["icc"](spark, d).first()
+    assert (got.n, got.msb, got.msw, got.icc) == pytest.approx((n, msb, msw, (msb - msw) / (msb + (k0 - 1) * msw)), abs=1e-6)
+
+
+def test_agreement_matches_whole_sql(spark, duck, sf_dir):
+    want = duck.sql("""WITH g AS (SELECT avg(l_quantity) AS m, count(*)::DOUBLE AS k, var_pop(l_quantity) AS v FROM lineitem GROUP BY l_orderkey),
+      s AS (SELECT count(*) AS n, sum(k) AS total, sum(k * m) / sum(k) AS mean, (sum(k) - sum(k * k) / sum(k)) / (count(*) - 1) AS k0, sum(k * v) / (sum(k) - count(*)) AS msw FROM g),
+      b AS (SELECT sum(k * (m - mean) * (m - mean)) / any_value(n - 1) AS msb FROM g, s) SELECT n, msb, msw, (msb - msw) / (msb + (k0 - 1) * msw) FROM s, b""").fetchall()[0]
+    got = plans.QUERIES["icc"](spark, sf_dir).first()
+    assert (got.n, got.msb, got.msw, got.icc) == pytest.approx(want, abs=1e-5)
+    want = duck.sql("""WITH c AS (SELECT l_orderkey, l_returnflag, count(*) AS c FROM lineitem GROUP BY ALL), o AS (SELECT avg((sq - n) / (n * (n - 1))::DOUBLE) AS o FROM (SELECT sum(c) AS n, sum(c * c) AS sq FROM c GROUP BY l_orderkey) WHERE n > 1),
+      h AS (SELECT sum(n * n) / (sum(n) * sum(n))::DOUBLE AS h FROM (SELECT sum(c) AS n FROM c GROUP BY l_returnflag)) SELECT o, h, (o - h) / (1 - h) FROM o, h""").fetchall()[0]
+    got = plans.QUERIES["fleiss_kappa"](spark, sf_dir).first()
+    assert (got.observed, got.chance, got.kappa) == pytest.approx(want, abs=1e-5)
