@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,18 +43,29 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def matches(boxes: DataFrame) -> DataFrame:
-    """``sequence, frame, true_id, pred_id, iou`` of ``sequence, frame, side, id, x1, y1, x2, y2`` by least cost per frame."""
+    """``sequence, frame, true_id, pred_id, iou`` of ``sequence, frame, side, id, x1, y1, x2, y2`` by least cost per frame.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        true, pred = rows[rows.side == "gt"], rows[rows.side == "pred"]
-        if true.empty or pred.empty:
-            return pd.DataFrame(columns=["sequence", "frame", "true_id", "pred_id", "iou"])
-        corner = ["x1", "y1", "x2", "y2"]
-        share = _iou(true[corner].to_numpy(float), pred[corner].to_numpy(float))
-        found = assign(1 - share)
-        return pd.DataFrame([(rows.sequence.iloc[0], rows.frame.iloc[0], true.id.iloc[i], pred.id.iloc[j], share[i, j]) for i, j in found], columns=["sequence", "frame", "true_id", "pred_id", "iou"])
+    A frame is one row of boxes, so that many small frames share an Arrow batch.
+    """
+    box = F.struct((F.col("side") == "gt").alias("true"), F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    frames = boxes.filter("side IN ('gt', 'pred')").groupBy(F.col("sequence").cast("long").alias("sequence"), F.col("frame").cast("long").alias("frame")).agg(F.collect_list(box).alias("boxes"))
 
-    return boxes.groupBy("sequence", "frame").applyInPandas(run, "sequence long, frame long, true_id long, pred_id long, iou double")
+    def run(batches):
+        for batch in batches:
+            ends, parts = batch.column("boxes").offsets.to_numpy(), batch.column("boxes").values.flatten()
+            true, ids, *corners = [p.to_numpy(zero_copy_only=False) for p in parts]
+            corners = np.column_stack(corners)
+            out = []
+            for k, (sequence, frame) in enumerate(zip(batch.column("sequence").to_pylist(), batch.column("frame").to_pylist())):
+                at = np.arange(ends[k], ends[k + 1])
+                left, right = at[true[at].astype(bool)], at[~true[at].astype(bool)]
+                if len(left) and len(right):
+                    share = _iou(corners[left], corners[right])
+                    out += [(sequence, frame, int(ids[left[i]]), int(ids[right[j]]), float(share[i, j])) for i, j in assign(1 - share)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+
+    names, types = ["sequence", "frame", "true_id", "pred_id", "iou"], [pa.int64()] * 4 + [pa.float64()]
+    return frames.mapInArrow(run, "sequence long, frame long, true_id long, pred_id long, iou double")
 
 
 def scores(boxes: DataFrame, least: float = 0.5) -> DataFrame:

@@ -82,9 +82,9 @@ def disagreement_cases(spark, d):
 
 
 def mota_motp(spark, d):
-    """Tracking scores of event boxes against the same boxes moved a little."""
-    e = read(spark, d, "events").filter("event_type IN ('view', 'click')")
-    b = e.select((F.col("user_id") % 10).alias("sequence"), F.dayofmonth("ts").cast("long").alias("frame"), F.col("event_id").alias("id"), (F.col("value") % 50).alias("x1"), (F.col("event_id") % 40).cast("double").alias("y1"))
+    """Tracking scores of the boxes of all events, a sequence per user and a frame per day, against the same boxes moved a little."""
+    e = read(spark, d, "events")
+    b = e.select(F.col("user_id").alias("sequence"), F.unix_date(F.to_date("ts")).cast("long").alias("frame"), F.col("event_id").alias("id"), (F.col("value") % 50).alias("x1"), (F.col("event_id") % 40).cast("double").alias("y1"))
     box = lambda side, dx: b.select("sequence", "frame", F.lit(side).alias("side"), "id", (F.col("x1") + dx).alias("x1"), "y1", (F.col("x1") + dx + 10).alias("x2"), (F.col("y1") + 10).alias("y2"))
     return tracking.scores(box("gt", 0.0).unionByName(box("pred", 1.0)))
 

@@ -1,5 +1,7 @@
 """Queries that once did less than the whole job, against brute force over whole tables."""
 
+import datetime
+import itertools
 import re
 
 import pytest
@@ -93,3 +95,29 @@ def test_agreement_matches_whole_sql(spark, duck, sf_dir):
       h AS (SELECT sum(n * n) / (sum(n) * sum(n))::DOUBLE AS h FROM (SELECT sum(c) AS n FROM c GROUP BY l_returnflag)) SELECT o, h, (o - h) / (1 - h) FROM o, h""").fetchall()[0]
     got = plans.QUERIES["fleiss_kappa"](spark, sf_dir).first()
     assert (got.observed, got.chance, got.kappa) == pytest.approx(want, abs=1e-5)
+
+
+def test_tracking_scores_all_events(spark, folder):
+    kinds = ["view", "click", "purchase", "signup", "error"]
+    # Two months, so that the same day of another month is another frame.
+    rows = [(i, datetime.datetime(2024, 1 + i % 2, 1 + i % 3, i % 24), 1 + i % 4, kinds[i % 5], float(i * 7 % 50)) for i in range(60)]
+    d = folder(events=(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"))
+    frames = {}
+    for i, ts, user, _, value in rows:
+        frames.setdefault((user, ts.date()), []).append((i, value % 50, float(i % 40)))
+    assert max(map(len, frames.values())) <= 6 and len(frames) > 10
+
+    def iou(a, b):
+        both = max(0.0, min(a[1], b[1] + 1) + 10 - max(a[1], b[1] + 1)) * max(0.0, 10 - abs(a[2] - b[2]))
+        return both / (200 - both)
+
+    want = {u: [0, 0, []] for u, _ in frames}
+    for (user, _), boxes in frames.items():
+        best = max(itertools.permutations(boxes), key=lambda p: sum(iou(a, b) for a, b in zip(boxes, p)))
+        want[user][0] += len(boxes)
+        want[user][2] += [iou(a, b) for a, b in zip(boxes, best) if iou(a, b) >= 0.5]
+    got = {r.sequence: r for r in plans.QUERIES["mota_motp"](spark, d).collect()}
+    assert set(got) == set(want) and sum(r.n_true for r in got.values()) == len(rows)
+    for user, (n, _, hits) in want.items():
+        r = got[user]
+        assert (r.n_true, r.misses, r.extra) == (n, n - len(hits), n - len(hits)) and r.motp == pytest.approx(sum(hits) / len(hits))
