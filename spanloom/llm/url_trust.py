@@ -7,11 +7,13 @@ from hosts with allowed pages along host links, distrust the same from hosts wit
 reversed links, and a host is blocked if its distrust is above ``ratio`` times its trust.
 
 Links are the absolute ``href`` targets in pages, and between a host and the host above it (one label
-less, two labels at least) in both directions, each pair of hosts once.  Mass is counted in whole units
-of ``MASS``, so sums don't depend on the order of rows and reruns agree to the unit.
+less, two labels at least) in both directions, each pair of hosts once.  Mass is counted in whole units,
+``UNITS`` for each kind of seed, so sums don't depend on the order of rows and reruns agree to the unit.
+Rounds go on until trust and distrust together change by ``TOLERANCE`` at most (a millionth, summed over
+hosts; tested after every ``ROUNDS`` rounds), so what is still to come is below six times that.
 
 Hosts are kept in tables dealt by host; the joins are equi-joins that Spark may split where a host is
-hot, contributions are summed map-side, and nothing but a count of seeds reaches the driver.
+hot, contributions are summed map-side, and nothing but a sum of changes per test reaches the driver.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 allowed unless other empty hosts are distrusted (they never are); null pages have no links; repeated
@@ -29,7 +31,10 @@ from .scratch import table
 
 MASS = 10**12
 DAMPING = 85
-STEPS = 10
+STEPS = 10  # of the SQL, as MASS
+UNITS = 10**18
+TOLERANCE = UNITS // 10**6
+ROUNDS = 4
 HREF = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -65,24 +70,31 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     return links.union(up).union(up.select("dst", "src")).distinct()
 
 
-def propagate(links: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: int = DAMPING) -> DataFrame:
-    """``host, trust, distrust`` in units of mass, of hosts that either reaches.
+def propagate(links: DataFrame, seeds: DataFrame, tolerance: int = TOLERANCE, damping: int = DAMPING) -> DataFrame:
+    """``host, trust, distrust`` in units of 1 / ``UNITS``, of hosts that either reaches.
 
-    ``seeds`` has ``host, good, bad``, numbers of allowed and blocked pages.
+    ``seeds`` has ``host, good, bad``, numbers of allowed and blocked pages.  Rounds end when trust and
+    distrust together change by ``tolerance`` at most, summed over hosts.
     """
     both = links.select(F.lit(True).alias("good"), "src", "dst").union(links.select(F.lit(False), "dst", "src"))
     degrees = both.groupBy("good", "src").agg(F.count("*").alias("degree"))
     edges = table(both.join(degrees, ["good", "src"]), "host-links")
     long = seeds.select(F.lit(True).alias("good"), "host", F.col("good").alias("n")).union(seeds.select(F.lit(False), "host", F.col("bad"))).filter("n > 0")
     totals = long.groupBy("good").agg(F.sum("n").alias("total"))
-    start = table(long.join(F.broadcast(totals), "good").select("good", "host", F.expr(f"{MASS} * n div total").alias("mass")), "seeds")  # two totals
+    start = table(long.join(F.broadcast(totals), "good").select("good", "host", F.expr(f"cast({UNITS} AS decimal(19)) * cast(n AS decimal(19)) div cast(total AS decimal(19))").alias("mass")), "seeds")  # two totals
     state = start
-    back = start.select("good", "host", F.expr(f"mass * {100 - damping} div 100").alias("mass"))
-    for step in range(1, steps + 1):
-        sent = state.withColumnRenamed("host", "src").join(edges, ["good", "src"]).select("good", F.col("dst").alias("host"), F.expr(f"mass * {damping} div (100 * degree)").alias("mass"))
-        state = sent.union(back).groupBy("good", "host").agg(F.sum("mass").alias("mass"))
-        if step % 4 == 0 and step < steps:
-            state = table(state, "ranks")
+    back = start.select("good", "host", F.expr(f"mass div 100 * {100 - damping} + mass % 100 * {100 - damping} div 100").alias("mass"))
+    change = None
+    while change is None or change > tolerance:
+        for _ in range(ROUNDS):
+            last = state
+            # Quotient and remainder apart, so that no product leaves 64 bits.
+            sent = state.withColumnRenamed("host", "src").join(edges, ["good", "src"]).select("good", F.col("dst").alias("host"), F.expr(f"mass div (100 * degree) * {damping} + mass % (100 * degree) * {damping} div (100 * degree)").alias("mass"))
+            state = sent.union(back).groupBy("good", "host").agg(F.sum("mass").alias("mass"))
+        moved = state.withColumn("before", F.lit(0).cast("long")).union(last.select("good", "host", F.lit(0).cast("long"), "mass")).groupBy("good", "host").agg(F.sum("mass").alias("mass"), F.sum("before").alias("before"))
+        moved = table(moved, "ranks")
+        change = moved.agg(F.sum(F.abs(F.col("mass") - F.col("before")))).first()[0] or 0
+        state = moved.select("good", "host", "mass").filter("mass > 0")
     return table(state.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("good"), F.col("mass"))), F.lit(0)).alias("trust"), F.coalesce(F.sum(F.when(~F.col("good"), F.col("mass"))), F.lit(0)).alias("distrust")), "trust")
 
 
@@ -101,7 +113,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
 
 def sql(rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: int = DAMPING) -> str:
-    """The same for DuckDB over ``pages``, with ratio 1."""
+    """``steps`` rounds in units of ``MASS`` for DuckDB over ``pages``, with ratio 1; ``judge`` goes on to its tolerance."""
     rule, verdict = "NULL", "NULL"
     for kind, text in sorted(rules, key=lambda r: (len(r[1]), [-ord(c) for c in r[1]])):
         site, slash, prefix = text.partition("/")
