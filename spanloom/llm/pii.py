@@ -16,6 +16,10 @@ keyed Feistel network, so equal values stay equal across documents and nothing i
 Separators, case and lengths stay.  The network adds, modulo each position's own base, a keyed SHA-512
 of the other half of the value to one half after the other, which is a permutation for any bases.
 
+A candidate that fails its check as a whole may hold a valid value beside a short neighbour: of a card
+number the whole groups of 13 to 19 digits are tried, of an IBAN what ends at a blank, the longest first.  Still open: in longer runs of one separator, as
+in ``2024 4111 1111 1111 1111`` (20 digits), the candidate ends at 19 digits and may miss the card.
+
 Defined cases: null texts stay null; texts without candidates stay as they are; candidates that fail
 their validation stay; values written with other separators get the same new digits.  Texts are read
 whole, rows are independent (no shuffle), and other columns pass through.
@@ -40,10 +44,11 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 NANP = r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])"
 PHONE = r"\+[0-9]{1,3}(?:[ .-]\(?[0-9]{2,4}\)?){2,5}(?![A-Za-z0-9])"
 PLUS = r"\+[0-9]{8,15}(?![A-Za-z0-9])"
-CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
+# A number before a blank and a hyphened card is left out where both are more than 19 digits.
+CARD = r"(?<![A-Za-z0-9])(?![0-9]{4,6} (?=[0-9]+-)[0-9](?:-?[0-9]){15,18}(?![A-Za-z0-9]))[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
 IPV4 = r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9A-Za-z])"
 SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
-DATE = r"(?<![A-Za-z0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9/-])"
+DATE = r"(?<![A-Za-z0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-SU-Za-z/-]|T(?![0-9]))"
 CANDIDATE = "|".join((EMAIL, ACCESS_KEY, SECRET, DATE, SSN, NANP, PHONE, PLUS, CARD, IBAN, IPV4))
 
 
@@ -112,13 +117,32 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: _let(value(c), lambda v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97))
 
 
+def _within(c: Column, spans: Column, valid: Callable[[Column], Column], body: Callable[[Column], Column]) -> Column:
+    """``c`` with ``body`` of the first valid one of ``spans`` (``at`` from 1, ``n`` letters), and what is on its sides."""
+    cut = lambda s: F.substr(c, s.at, s.n)
+    found = F.filter(spans, lambda s: valid(cut(s)))
+    put = lambda s: F.concat(F.substr(c, F.lit(1), s.at - 1), body(cut(s)), F.substr(c, s.at + s.n, F.length(c)))
+    return _let(found, lambda f: F.when(F.size(f) > 0, put(f[0])).otherwise(c))
+
+
+def _groups(c: Column) -> Column:
+    """Spans of whole groups between blanks and hyphens that hold 13 to 19 digits, the longest first."""
+    # Where a group starts, and one past where a group ends.
+    starts = F.filter(F.sequence(F.lit(1), F.length(c)), lambda i: (i == 1) | F.substr(c, i - 1, F.lit(1)).isin(" ", "-"))
+    ends = F.filter(F.sequence(F.lit(2), F.length(c) + 1), lambda i: (i == F.length(c) + 1) | F.substr(c, i, F.lit(1)).isin(" ", "-"))
+    spans = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda e: e > a), lambda e: F.struct((a - e).alias("order"), a.alias("at"), (e - a).alias("n")))))
+    return F.array_sort(F.filter(spans, lambda s: F.length(F.regexp_replace(F.substr(c, s.at, s.n), "[ -]", "")).between(13, 19)))
+
+
 def _card(c: Column, key: str) -> Column:
     def make(d: Column) -> Column:
         inner = F.slice(d, F.lit(2), F.size(d) - 2)
         body = F.concat(F.slice(d, 1, 1), feistel(inner, F.array_repeat(F.lit(10), F.size(d) - 2), "card", key))
         return _let(body, lambda b: F.concat(b, F.array((10 - luhn(F.concat(b, F.array(F.lit(0))))) % 10)))
 
-    return _let(_digits(c), lambda d: F.when(luhn(d) == 0, _refill(c, make(d))).otherwise(c))
+    fine = lambda x: luhn(_digits(x)) == 0
+    new = lambda x: _let(_digits(x), lambda d: _refill(x, make(d)))
+    return F.when(fine(c), new(c)).otherwise(_within(c, _groups(c), fine, new))
 
 
 def _nanp(c: Column, key: str) -> Column:
@@ -217,8 +241,8 @@ def _iban(c: Column, key: str) -> Column:
         whole = lambda b: F.concat(country, _pad(98 - mod97(F.concat(country, F.lit("00"), b)), 2), b)
         return _let(body, whole)
 
-    blanks = lambda new: _let(
-        F.struct(F.split(c, "").alias("c"), new.alias("n")),
+    blanks = lambda x, new: _let(
+        F.struct(F.split(x, "").alias("c"), new.alias("n")),
         lambda s: F.aggregate(
             s.c,
             F.struct(F.lit("").alias("o"), F.lit(1).alias("k")),
@@ -226,7 +250,13 @@ def _iban(c: Column, key: str) -> Column:
             lambda a: a.o,
         ),
     )
-    return _let(F.regexp_replace(c, " ", ""), lambda t: F.when(F.length(t).between(15, 34) & (mod97(t) == 1), blanks(make(t))).otherwise(c))
+    bare = lambda x: F.regexp_replace(x, " ", "")
+    fine = lambda x: _let(bare(x), lambda t: F.length(t).between(15, 34) & (mod97(t) == 1))
+    new = lambda x: blanks(x, _let(bare(x), make))
+    # What is left of a candidate whose end is cut off at a blank, the longest first.
+    ends = F.filter(F.sequence(F.length(c) - 1, F.lit(1), F.lit(-1)), lambda n: F.substr(c, n + 1, F.lit(1)) == " ")
+    spans = F.transform(ends, lambda n: F.struct(F.lit(1).alias("at"), n.alias("n")))
+    return F.when(fine(c), new(c)).otherwise(_within(c, spans, fine, new))
 
 
 def _secret(c: Column, key: str) -> Column:

@@ -2,7 +2,9 @@
 
 import pytest
 
-from spanloom.llm import url_trust
+from pyspark.sql import functions as F
+
+from spanloom.llm import pii, url_trust
 
 
 def test_trust_reaches_hosts_beyond_ten_links(spark):
@@ -25,3 +27,21 @@ def test_trust_reaches_hosts_beyond_ten_links(spark):
     assert set(got) == set(good) | set(bad) and got["h15.org"][0] > 0 and got["h0.org"][1] > 0
     for host, (trust, distrust) in got.items():
         assert (trust / url_trust.UNITS, distrust / url_trust.UNITS) == pytest.approx((good.get(host, 0), bad.get(host, 0)), abs=6e-6)
+
+
+def test_values_beside_short_neighbours(spark):
+    values = {
+        "invoice 12 4111 1111 1111 1111": "4111 1111 1111 1111", "room 2024 4111-1111-1111-1111": "4111-1111-1111-1111", "4111 1111 1111 1111 12": "4111 1111 1111 1111",
+        "pay ES9121000418450200051332 EUR": "ES9121000418450200051332", "BE68 5390 0754 7034 BIC": "BE68 5390 0754 7034", "at 2024-01-05T10:00:00 sharp": "2024-01-05",
+        "4111 1111 1111 1111": "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32": "GB82 WEST 1234 5698 7654 32",
+    }
+    stay = ["12 4111 1111 1111 1112", "2024-01-05Tx", "2024-01-05T", "2024-01-051", "BE68 5390 0754 7035 BIC"]
+    df = spark.createDataFrame([(t,) for t in [*values, *stay]], "text string").withColumn("was", F.col("text"))
+    got = {r.was: r.text for r in pii.pseudonymise(df).collect()}
+    assert [got[t] for t in stay] == stay
+    for text, value in values.items():
+        before, after = text.split(value)
+        new = got[text]
+        assert len(new) == len(text) and new.startswith(before) and new.endswith(after) and value not in new
+    alone = pii.pseudonymise(spark.createDataFrame([("4111 1111 1111 1111",)], "text string")).first().text
+    assert got["invoice 12 4111 1111 1111 1111"] == f"invoice 12 {alone}" and got["4111 1111 1111 1111 12"] == f"{alone} 12"
