@@ -3,25 +3,33 @@
 Unit vectors with cosine at least ``t`` are at squared distance at most ``2 - 2 t``.  A fixed rotation
 spreads a vector's energy evenly over blocks of ``BLOCK`` dimensions; each block gets a share of that
 budget in proportion to its dimensions, and a pair within the whole budget is within the share of at
-least one block.  So each block is range-joined by itself: a grid over its first ``GRID`` coordinates,
-of cells wider than the block's radius, brings together every cell's own vectors (homes) and those of
-smaller cells that come within the radius of it (guests).  Inside a cell the block distance picks
-candidates, and the cosine of the vectors themselves, in double precision, decides.  A pair is counted in
-the first block that brings it up, so the union over blocks needs no row per pair.
+least one block.  So each block is range-joined by itself, and the cosine of the vectors themselves, in
+double precision, decides on what comes up.  A pair counts in the first block that brings it up.
 
-Equal vectors are collapsed before the join.  Cells are cut into chunks of at most ``CHUNK`` vectors and
-joined chunk by chunk, however many vectors a cell holds; the number of cells is bounded by the geometry.
-What leaves a task is a link count per vector and a spanning star per component, not pairs.
+Range join of a block: each coordinate is cut at its mean, and the sides of the first ``bits`` cuts are a
+vector's cell (its home).  To reach a cell beyond a cut costs the squared distance to the cut, summed
+over the cuts between.  Where a pair is parted by cuts, the two costs together are at most the pair's
+squared distance, so one of the two reaches the other's home for half the budget: it goes there as a
+guest.  The cheaper of the two (of equal ones the smaller id) is the guest that counts.  ``bits`` grows
+with the logarithm of the rows, so that cells keep their size on average.
+
+A task joins the homes of one cell, at most ``CHUNK``, with one another or with at most ``CHUNK`` guests;
+more rows make more tasks.  Inside, further cuts make leaves (of ``LEAF`` homes on average), rows reach them
+at the same costs and for the same half of the budget, and what is left is a matrix product over the
+block's dimensions.
+
+Equal vectors are collapsed before the join.  What leaves a task is a link count per vector and a
+spanning star per component, not pairs.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link with
 nothing; vectors of different lengths don't link; rows with equal vectors link with one another, also if
-their ids repeat; an empty table stays empty.
+their ids repeat; an empty table stays empty; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,21 +39,25 @@ from pyspark.sql import functions as F
 
 from .components import components, min_labels
 from .scratch import table
+from .units import settle
 
 THRESHOLD = 0.9
-BLOCK = 8
-GRID = 3
+BLOCK = 16
 CHUNK = 4096
+LEAF = 128
 _SLACK = 1e-7
+#: Pairs that are verified at a time.
+_PAIRS = 1 << 15
 
 
 @functools.cache
 def rotation(dim: int) -> np.ndarray:
-    """A fixed orthogonal matrix."""
+    """A fixed random rotation of ``dim`` dimensions."""
     q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
 
+@functools.cache
 def blocks(dim: int) -> list[tuple[int, int]]:
     """The dimensions of each block, as evenly as they go."""
     n = max(1, dim // BLOCK)
@@ -54,109 +66,202 @@ def blocks(dim: int) -> list[tuple[int, int]]:
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
-    """Vectors in double precision, scaled to length 1."""
+    """Vectors in double precision, scaled to length 1 (by their largest component first, so that no square leaves the range)."""
     x = raw.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def places(x: np.ndarray, threshold: float) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
-    """``block, home, rows, cells`` of unit vectors, for every cell each of them has to be in."""
+def share(dim: int, lo: int, hi: int, threshold: float) -> float:
+    """The squared-distance budget of a block."""
+    return (2 - 2 * threshold + _SLACK) * (hi - lo) / dim
+
+
+class Layout:
+    """Where the coordinates of each length of vector are cut, and how many cuts make a cell."""
+
+    def __init__(self, stats: dict[int, tuple[int, np.ndarray]], chunk: int):
+        self.centre = {dim: (total / n) @ rotation(dim) for dim, (n, total) in stats.items()}
+        wanted = lambda n, most: max(0, math.ceil(math.log2(n / most)))
+        self.bits = {dim: wanted(n, chunk) for dim, (n, _) in stats.items()}
+        self.deep = {dim: max(self.bits[dim], wanted(n, LEAF)) for dim, (n, _) in stats.items()}
+
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        """Unit vectors after the rotation, from the cuts."""
+        return x @ rotation(x.shape[1]) - self.centre[x.shape[1]]
+
+    def cuts(self, dim: int, lo: int, hi: int) -> tuple[int, int]:
+        """How many cuts make the cells of a block, and how many its leaves."""
+        return min(self.bits[dim], hi - lo), min(self.deep[dim], hi - lo)
+
+
+def places(x: np.ndarray, layout: Layout, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``block, rows, cells, homes`` of unit vectors, for every cell each of them has to be in."""
     dim = x.shape[1]
-    turned = x @ rotation(dim)
-    budget = 2 - 2 * threshold + _SLACK
+    turned = layout.turned(x)
     for k, (lo, hi) in enumerate(blocks(dim)):
-        radius = np.sqrt(budget * (hi - lo) / dim)
-        wide = 2 * radius
-        side = int(2 / wide) + 3
-        y = turned[:, lo : min(hi, lo + GRID)]
-        cell = np.floor(y / wide).astype(np.int64)
-        weights = side ** np.arange(y.shape[1] - 1, -1, -1)
-        yield k, True, np.arange(len(x)), (cell + side // 2) @ weights
-        low, high = y - cell * wide, (cell + 1) * wide - y
-        for move in itertools.product((-1, 0, 1), repeat=y.shape[1]):
-            if move <= (0,) * len(move):  # a pair of cells meets in the larger one
-                continue
-            away = sum(np.where(m > 0, high[:, i], low[:, i] if m < 0 else 0.0) ** 2 for i, m in enumerate(move))
-            near = np.flatnonzero(away <= radius * radius)
-            if len(near):
-                yield k, False, near, (cell[near] + move + side // 2) @ weights
-
-
-def _vectors(column: pa.Array) -> np.ndarray:
+        bits, _ = layout.cuts(dim, lo, hi)
+        y = turned[:, lo : lo + bits]
+        home = (y >= 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), dtype=np.int64)
+        cost, half = y * y, share(dim, lo, hi, threshold) / 2 + _SLACK
+        rows, cell, spent = np.arange(len(x)), home.astype(np.int64), np.zeros(len(x))
+        for i in range(bits):
+            more = spent + cost[rows, i]
+            go = more <= half
+            rows, cell, spent = np.concatenate([rows, rows[go]]), np.concatenate([cell, cell[go] ^ (1 << i)]), np.concatenate([spent, more[go]])
+        yield k, rows, cell, home[rows]
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Equal-length lists of a batch as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def placed(classes: DataFrame, threshold: float, vectors: bool) -> DataFrame:
+def _by_length(batch: pa.RecordBatch, at: int, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose vectors have one length."""
+    sizes = batch.column(at).value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes):
+        some = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+        for lo in range(0, some.num_rows, rows):
+            yield some.slice(lo, rows)
+
+
+def layout(classes: DataFrame, chunk: int) -> Layout:
+    """Counts and means per length of vector; one row per component reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for rows in _by_length(batch, 0):
+                x = unit(_vectors(rows.column(0)))
+                held = sums.setdefault(x.shape[1], [0, np.zeros(x.shape[1])])
+                held[0] += len(x)
+                held[1] += x.sum(axis=0)
+        for dim, (n, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(dim, dim, dtype=np.int32)), pa.array(np.arange(dim, dtype=np.int32)), pa.array(np.full(dim, n)), pa.array(total)], names=["dim", "at", "n", "total"])
+
+    found = classes.select("vector").mapInArrow(run, "dim int, at int, n long, total double").groupBy("dim", "at").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    stats: dict[int, tuple[int, np.ndarray]] = {}
+    for dim, at, n, total in sorted(map(tuple, found.collect())):
+        stats.setdefault(dim, (n, np.zeros(dim)))[1][at] = total
+    return Layout(stats, chunk)
+
+
+def placed(classes: DataFrame, plan: Layout, threshold: float, vectors: bool) -> DataFrame:
     """Rows of ``placed`` cells; with the vectors, or without them for counting."""
     kind = classes.schema["vector"].dataType.simpleString()
-    schema = "dim int, block int, cell long, home boolean, id long, size long" + (f", vector {kind}" if vectors else "")
+    schema = "dim int, block int, cell long, own long, id long, size long" + (f", vector {kind}" if vectors else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            for dim in np.unique(sizes):
-                rows = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+            for rows in _by_length(batch, 2):
                 x = unit(_vectors(rows.column(2)))
-                for block, home, at, cell in places(x, threshold):
+                for block, at, cell, home in places(x, plan, threshold):
                     n = len(at)
                     some = rows.take(pa.array(at))
-                    made = [pa.array(np.full(n, dim, dtype=np.int32)), pa.array(np.full(n, block, dtype=np.int32)), pa.array(cell), pa.array(np.full(n, home)), some.column(0), some.column(1)]
-                    yield pa.RecordBatch.from_arrays([*made, *([some.column(2)] if vectors else [])], names=["dim", "block", "cell", "home", "id", "size", *(["vector"] if vectors else [])])
+                    made = [pa.array(np.full(n, x.shape[1], dtype=np.int32)), pa.array(np.full(n, block, dtype=np.int32)), pa.array(cell), pa.array(home.astype(np.int64)), some.column(0), some.column(1)]
+                    yield pa.RecordBatch.from_arrays([*made, *([some.column(2)] if vectors else [])], names=["dim", "block", "cell", "own", "id", "size", *(["vector"] if vectors else [])])
 
     return classes.select("id", "size", "vector").mapInArrow(run, schema)
 
 
-def links_between(x: np.ndarray, y: np.ndarray, block: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit vectors with at least the cosine, brought up by this block and no earlier one."""
+class _Links:
+    """What a task has found: a link count per row and stars over the linked rows."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+        self.count = np.zeros(len(ids), dtype=np.int64)
+        self.label = np.arange(len(ids))
+        self.pairs = 0
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Counts links; of their components only stars are kept."""
+        n = len(self.ids)
+        self.count += (np.bincount(p, weights=self.sizes[q], minlength=n) + np.bincount(q, weights=self.sizes[p], minlength=n)).astype(np.int64)
+        a, b = self.label[p], self.label[q]
+        apart = a != b
+        if apart.any():
+            nodes, least = min_labels(a[apart], b[apart])
+            moved = np.arange(n)
+            moved[nodes] = least
+            self.label = moved[self.label]
+
+    def rows(self) -> pa.Table:
+        """``id, n, least`` of the linked rows; ``least`` is the smallest id of a row's star."""
+        least = np.full(len(self.ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.label, self.ids)
+        linked = np.flatnonzero(self.count)
+        return pa.table({"id": pa.array(self.ids[linked], pa.int64()), "n": pa.array(self.count[linked]), "least": pa.array(least[self.label[linked]], pa.int64())})
+
+
+def join(x: np.ndarray, turned: np.ndarray, block: int, cuts: tuple[int, int], away: np.ndarray, guests: np.ndarray, homes: np.ndarray, threshold: float, out: _Links) -> None:
+    """Links of ``guests`` with the ``homes`` that they reach (both are rows of ``x``); ``away``: the cuts between a row's home and this cell."""
     dim = x.shape[1]
-    budget = 2 - 2 * threshold + _SLACK
-    parts, turn = blocks(dim), rotation(dim)
-    u, v = x @ turn, y @ turn
+    parts = blocks(dim)
     lo, hi = parts[block]
-    a, b = u[:, lo:hi].astype(np.float32), v[:, lo:hi].astype(np.float32)
-    most = budget * (hi - lo) / dim + 1e-5  # single precision finds candidates, with room to spare
-    bb = (b * b).sum(axis=1)
-    left, right = [], []
-    for i in range(0, len(a), 512):
-        part = a[i : i + 512]
-        near = (part * part).sum(axis=1)[:, None] + bb - 2 * (part @ b.T) <= most
-        if same:
-            near &= np.arange(i, i + len(part))[:, None] < np.arange(len(b))
-        p, q = np.nonzero(near)
-        for j in range(0, len(p), 1 << 16):
-            m, n = p[j : j + (1 << 16)] + i, q[j : j + (1 << 16)]
-            close = (x[m] * y[n]).sum(axis=1) >= threshold
-            m, n = m[close], n[close]
-            gap = (u[m] - v[n]) ** 2
-            first = np.ones(len(m), dtype=bool)
-            for k, (c, d) in enumerate(parts[: block + 1]):
-                inside = gap[:, c:d].sum(axis=1) <= budget * (d - c) / dim
-                first &= inside if k == block else ~inside
-            left.append(m[first])
-            right.append(n[first])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate(left or [none]), np.concatenate(right or [none])
-
-
-def _join(group: pa.Table, threshold: float) -> pa.Table:
+    budget = share(dim, lo, hi, threshold)
+    bits, more = cuts[0], cuts[1] - cuts[0]
+    y = turned[:, lo : lo + cuts[1]]
+    side, cost = y >= 0, y * y
+    crossed = (away[guests, None] >> np.arange(bits)) & 1
+    spent = (cost[guests, :bits] * crossed).sum(axis=1)
+    inner, above = cost[guests, bits:], side[guests, bits:]
+    leaf = side[homes, bits:] @ (1 << np.arange(more)) if more else np.zeros(len(homes), dtype=np.int64)
+    order = np.argsort(leaf, kind="stable")
+    leaves, first = np.unique(leaf[order], return_index=True)
+    wanted = (leaves[:, None] >> np.arange(more)) & 1
+    total = spent[:, None] + (inner * above) @ (1 - wanted).T + (inner * ~above) @ wanted.T
+    reach = total <= budget / 2 + _SLACK
+    low = turned[:, lo:hi].astype(np.float32)
+    norm, one = (low * low).sum(axis=1, keepdims=True), np.ones((len(low), 1), dtype=np.float32)
+    # One product gives the squared distance less the budget; single precision finds candidates, with room to spare.
+    left, right = np.hstack([-2 * low, one, norm - np.float32(budget + 1e-5)]), np.hstack([low, norm, one])
+    for i, ends in enumerate(np.append(first[1:], len(order))):
+        h = homes[order[first[i] : ends]]
+        turned_h = np.ascontiguousarray(right[h].T)
+        g = guests[reach[:, i]]
+        for a in range(0, len(g), 4096):
+            some = g[a : a + 4096]
+            near = np.flatnonzero((left[some] @ turned_h <= 0).ravel())
+            out.pairs += len(some) * len(h)
+            for j in range(0, len(near), _PAIRS):
+                p, q = np.divmod(near[j : j + _PAIRS], len(h))
+                m, n = some[p], h[q]
+                close = (x[m] * x[n]).sum(axis=1) >= threshold
+                m, n = m[close], n[close]
+                apart = side[m] != side[n]
+                mine, theirs = np.round((cost[m] * apart).sum(axis=1), 12), np.round((cost[n] * apart).sum(axis=1), 12)
+                counts = (mine < theirs) | ((mine == theirs) & (out.ids[m] < out.ids[n]))
+                m, n = m[counts], n[counts]
+                squares = (turned[m] - turned[n]) ** 2
+                for k, (c, d) in enumerate(parts[: block + 1]):
+                    inside = np.round(squares[:, c:d].sum(axis=1), 12) <= share(dim, c, d, threshold)
+                    keep = inside if k == block else ~inside
+                    m, n, squares = m[keep], n[keep], squares[keep]
+                out.add(m, n)
+
+
+def _join(group: pa.Table, plan: Layout, threshold: float) -> pa.Table:
     rows = group.combine_chunks()
-    ids, sizes = rows["id"].to_numpy(), rows["size"].to_numpy()
-    x = unit(_vectors(rows["vector"].combine_chunks() if isinstance(rows["vector"], pa.ChunkedArray) else rows["vector"]))
+    x = unit(_vectors(rows["vector"]))
+    turned = plan.turned(x)
     block = rows["block"][0].as_py()
-    side = rows["right"].to_numpy(zero_copy_only=False)
-    same = bool(rows["same"][0].as_py())
-    if same:
-        p, q = links_between(x, x, block, threshold, True)
+    cuts = plan.cuts(x.shape[1], *blocks(x.shape[1])[block])
+    away = rows["own"].to_numpy() ^ rows["cell"].to_numpy()
+    right = rows["right"].to_numpy(zero_copy_only=False)
+    out = _Links(rows["id"].to_numpy(), rows["size"].to_numpy())
+    one, two = np.flatnonzero(~right), np.flatnonzero(right)
+    if rows["same"][0].as_py():
+        sides = [(one, one)]
+    elif rows["with_guests"][0].as_py():
+        sides = [(two, one)]
     else:
-        one, two = np.flatnonzero(~side), np.flatnonzero(side)
-        p, q = links_between(x[one], x[two], block, threshold, False)
-        p, q = one[p], two[q]
-    count = np.bincount(p, weights=sizes[q], minlength=len(ids)) + np.bincount(q, weights=sizes[p], minlength=len(ids))
-    linked = np.flatnonzero(count)
-    nodes, least = min_labels(ids[p], ids[q])
-    star = dict(zip(nodes.tolist(), least.tolist(), strict=True))
-    return pa.table({"id": pa.array(ids[linked], pa.int64()), "n": pa.array(count[linked].astype(np.int64)), "least": pa.array([star[i] for i in ids[linked].tolist()], pa.int64())})
+        sides = [(one, two), (two, one)]
+    for guests, homes in sides:
+        if len(guests) and len(homes):
+            join(x, turned, block, cuts, away, guests, homes, threshold, out)
+    return out.rows()
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
@@ -168,12 +273,15 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     whole = rows.filter("__vector IS NOT NULL").groupBy("__vector").agg(F.min("__id").alias("least"), F.count("*").alias("size"))
     classes = table(whole.select(F.monotonically_increasing_id().alias("id"), "least", "size", F.col("__vector").alias("vector")), "vectors")
 
-    cells = placed(classes, threshold, False).groupBy("dim", "block", "cell").agg(
-        F.ceil(F.count(F.when(F.col("home"), 1)) / chunk).cast("int").alias("homes"),
-        F.ceil(F.count(F.when(~F.col("home"), 1)) / chunk).cast("int").alias("guests"),
-    ).filter("homes > 0")
-    chunks = F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))
-    both = placed(classes, threshold, True).join(F.broadcast(cells), ["dim", "block", "cell"]).withColumn("mine", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+    plan = layout(classes, chunk)
+    home = F.col("cell") == F.col("own")
+    counted = placed(classes, plan, threshold, False).groupBy("dim", "block", "cell").agg(
+        F.ceil(F.count(F.when(home, 1)) / chunk).cast("int").alias("homes"),
+        F.ceil(F.count(F.when(~home, 1)) / chunk).cast("int").alias("guests"),
+    )
+    cells = table(counted.filter("homes > 0"), "cells")  # written, so that its size decides how it is joined
+    chunks = F.when(home, F.col("homes")).otherwise(F.col("guests"))
+    both = placed(classes, plan, threshold, True).join(cells, ["dim", "block", "cell"]).withColumn("mine", F.pmod(F.xxhash64("id"), chunks).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     # A task is (guests?, left chunk, right chunk); homes meet the homes of their own and later chunks, then all guests.
     task = lambda g, a, b, right, same: F.struct(g.alias("with_guests"), a.alias("a"), b.alias("b"), right.alias("right"), same.alias("same"))
@@ -181,8 +289,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     with_homes = F.transform(upto(F.col("homes")), lambda i: task(no, F.least(i, F.col("mine")), F.greatest(i, F.col("mine")), F.col("mine") > i, i == F.col("mine")))
     with_guests = F.transform(upto(F.col("guests")), lambda i: task(yes, F.col("mine"), i, no, no))
     as_guest = F.transform(upto(F.col("homes")), lambda i: task(yes, i, F.col("mine"), yes, no))
-    spread = both.withColumn("task", F.explode(F.when(F.col("home"), F.concat(with_homes, with_guests)).otherwise(as_guest))).select("dim", "block", "cell", "id", "size", "vector", "task.*")
-    joined = spread.groupBy("dim", "block", "cell", "with_guests", "a", "b").applyInArrow(lambda t: _join(t, threshold), "id long, n long, least long")
+    spread = both.withColumn("task", F.explode(F.when(home, F.concat(with_homes, with_guests)).otherwise(as_guest))).select("dim", "block", "cell", "own", "id", "size", "vector", "task.*")
+    joined = spread.groupBy("dim", "block", "cell", "with_guests", "a", "b").applyInArrow(lambda t: _join(t, plan, threshold), "id long, n long, least long")
     found = table(joined.groupBy("id", "least").agg(F.sum("n").alias("n")), "embedding-links")
 
     parts = components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))

@@ -23,7 +23,7 @@ character map reads as a blank.
 from __future__ import annotations
 
 import functools
-import json
+import itertools
 import os
 import re
 import struct
@@ -45,6 +45,8 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 THREADS = 2
+#: Units that a worker remembers, units encoded in one call, and bytes of text taken at a time.
+UNITS, CALL, SLICE = 120_000, 8192, 1 << 20
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -171,24 +173,27 @@ class Pieces:
         self.by_unit = self.model.kind == BPE and self.model.dummy_prefix and not self.model.charsmap and not self.model.extra_spaces and not any(MARK in p.lstrip(MARK) for p in plain)
         self.by_point = not any(re.search(f"[{LETTER}]{POINT}", p) for p in plain)
         self.by_line = not any("\n" in p and len(p) > 1 for p in plain)
-        self.units = UnitIds(self._encode_units, 150_000)
+        self.units = UnitIds(self._encode_units, UNITS)
         self.wrong: set[str] = set()
         self.raw = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces], pa.binary())
 
     # Built when first asked for: a worker that decodes needs none of these.
     @functools.cached_property
     def tokenizer(self):
-        """The tokenizer for whole texts."""
-        return build(self.model)
+        """The tokenizer, for whole texts or (see :meth:`_normal`) for units, which are normalised already."""
+        made = build(self.model)
+        self.normaliser, self.whole = made.normalizer, True
+        return made
 
-    @functools.cached_property
-    def bare(self):
-        """The tokenizer for units, which are normalised already."""
-        from tokenizers import Tokenizer
+    def _normal(self, whole: bool):
+        """The one tokenizer of this worker, with or without its normaliser."""
+        from tokenizers import normalizers
 
-        spec = json.loads(self.tokenizer.to_str())
-        spec["normalizer"] = None
-        return Tokenizer.from_str(json.dumps(spec))
+        made = self.tokenizer
+        if self.whole != whole:
+            made.normalizer = self.normaliser if whole else normalizers.Sequence([])
+            self.whole = whole
+        return made
 
     @functools.cached_property
     def reference(self):
@@ -204,15 +209,21 @@ class Pieces:
 
         return SentencePieceProcessor(model_proto=self.file + b"\x1a\x02\x18\x00")
 
-    def _encode_units(self, units: list[str]) -> list[list[int]]:
-        found = [e.ids for e in self.bare.encode_batch_fast(units, add_special_tokens=False)]
-        if self.check:
-            if not self.units.index:
-                self.wrong = set()
-            theirs = self.bare_reference.encode(units, num_threads=1)
-            if found != theirs:
-                self.wrong.update(u for u, a, b in zip(units, found, theirs, strict=True) if a != b)
-        return found
+    def _encode_units(self, units: list[str]) -> list[np.ndarray]:
+        bare, out = self._normal(False), []
+        if self.check and not self.units.index:
+            self.wrong = set()
+        for lo in range(0, len(units), CALL):
+            some = units[lo : lo + CALL]
+            found = [e.ids for e in bare.encode_batch_fast(some, add_special_tokens=False)]
+            if self.check:
+                theirs = self.bare_reference.encode(some, num_threads=1)
+                if found != theirs:
+                    self.wrong.update(u for u, a, b in zip(some, found, theirs, strict=True) if a != b)
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
+            out.append((flat, sizes))
+        return out
 
     def _split(self, column: pa.Array) -> pa.ListArray:
         marked = pc.binary_join_element_wise(MARK, pc.replace_substring(column, " ", "\x01" + MARK), "")
@@ -237,7 +248,7 @@ class Pieces:
         if not odd.any():
             return ids, at, right
         texts = column.filter(pa.array(odd)).to_pylist()
-        whole = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        whole = [e.ids for e in self._normal(True).encode_batch_fast(texts, add_special_tokens=False)]
         agree = [a == b for a, b in zip(whole, self.reference.encode(texts, num_threads=1), strict=True)] if self.check else [True] * len(whole)
         rest, w, u = np.split(ids, at[1:-1]), 0, 0
         rows, parity = [], np.ones(len(odd), dtype=bool)
@@ -288,9 +299,9 @@ def pieces(name: str = MODEL, threads: int = THREADS, check: bool = True) -> Pie
     return _loaded[key]
 
 
-def _release() -> None:
-    """Drops this worker's encoders when a task ends; the next task that needs one builds it again."""
-    _loaded.clear()
+def _release(encoder: Pieces) -> None:
+    """Ends a task: the worker keeps its model for later tasks and forgets the units."""
+    encoder.units.forget()
     settle()
 
 
@@ -306,13 +317,12 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL, threads: int =
         encoder = pieces(model, threads, check)
         for batch in batches:
             column = batch.column(kept.index(text))
-            for lo, hi in by_bytes(column):
+            for lo, hi in by_bytes(column, SLICE):
                 ids, at, parity = encoder.ids(column.slice(lo, hi - lo))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(parity)], names=[*kept, "piece_ids", "parity"])
-        del encoder
-        _release()
+        _release(encoder)
 
     rows = df.select(*[f"`{c}`" for c in kept])
     return rows.mapInArrow(run, StructType([*rows.schema, StructField("piece_ids", ArrayType(IntegerType())), StructField("parity", BooleanType())]))
@@ -346,7 +356,7 @@ def verified(df: DataFrame, key: str = "doc_id", text: str = "text", model: str
         encoder = pieces(model, threads)
         for batch in batches:
             names, column = batch.columns
-            for lo, hi in by_bytes(column, 2 << 20):
+            for lo, hi in by_bytes(column, SLICE):
                 texts = column.slice(lo, hi - lo)
                 ids, at, parity = encoder.ids(texts)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
@@ -354,7 +364,6 @@ def verified(df: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64()), pa.array(parity), pa.array(same)], schema=schema)
-        del encoder
-        _release()
+        _release(encoder)
 
     return df.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean")

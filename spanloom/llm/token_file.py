@@ -73,20 +73,25 @@ class TextIds:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_units(self, units: list[str]) -> list[list[int]]:
+    def _encode_units(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of units, some thousand at a time."""
+        return [self._encode_some(units[lo : lo + 4096]) for lo in range(0, len(units), 4096)]
+
+    def _encode_some(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out: list = [None] * len(units)
         letters = [i for i, u in enumerate(units) if u.isalpha()] if self.ends.any() else []
-        for lo in range(0, len(letters), 2000):
-            some = letters[lo : lo + 2000]
-            ids = np.array(self._encode([" ".join([units[i] for i in some])])[0], dtype=np.uint32)
+        if letters:
+            ids = np.array(self._encode([" ".join([units[i] for i in letters])])[0], dtype=np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                for i, x in zip(some, np.split(ids, cuts[:-1]), strict=True):
+            if len(cuts) == len(units) == len(letters):
+                return ids, np.diff(np.concatenate([[0], cuts]))
+            if len(cuts) == len(letters):
+                for i, x in zip(letters, np.split(ids, cuts[:-1]), strict=True):
                     out[i] = x
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._encode([units[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
+            out[i] = np.asarray(x, dtype=np.uint32)
+        return np.concatenate(out), np.fromiter(map(len, out), dtype=np.int64, count=len(out))
 
     def _split(self, column: pa.Array) -> pa.ListArray:
         cut = pc.replace_substring_regex(pc.ascii_lower(column), r"([a-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])", r"\1 \2")

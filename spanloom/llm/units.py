@@ -19,11 +19,13 @@ import pyarrow as pa
 class UnitIds:
     """Ids by unit, with a bounded cache."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]], most: int = 300_000):
+        """``encode`` gives, for runs of the units it is given, all ids and the number of ids of each unit."""
         self.encode, self.most = encode, most
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Empties the cache."""
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
@@ -32,14 +34,14 @@ class UnitIds:
 
     def _add(self, units: list[str]) -> None:
         found = self.encode(units)
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        sizes = np.concatenate([n for _, n in found])
         total, at = int(sizes.sum()), len(self.index)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while at + len(units) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=total)
+        self.flat[self.used : self.used + total] = np.concatenate([ids for ids, _ in found])
         self.start[at : at + len(units)] = self.used + np.cumsum(sizes) - sizes
         self.size[at : at + len(units)] = sizes
         self.used += total
@@ -48,7 +50,7 @@ class UnitIds:
     def lookup(self, units: list[str]) -> np.ndarray:
         """The cache's index of each distinct unit."""
         if len(self.index) > self.most:
-            self._clear()
+            self.forget()
         new = [u for u in units if u not in self.index]
         if new:
             self._add(new)
