@@ -9,8 +9,8 @@ reversed links, and a host is blocked if its distrust is above ``ratio`` times i
 Links are the absolute ``href`` targets in pages, and between a host and the host above it (one label
 less, two labels at least) in both directions, each pair of hosts once.  Mass is counted in whole units,
 ``UNITS`` for each kind of seed, so sums don't depend on the order of rows and reruns agree to the unit.
-Rounds go on until trust and distrust together change by ``TOLERANCE`` at most (a millionth, summed over
-hosts; tested after every ``ROUNDS`` rounds), so what is still to come is below six times that.
+Rounds go on until trust and distrust together change by ``TOLERANCE`` at most (a millionth, summed
+over hosts; tested after every ``ROUNDS`` rounds), so what is still to come is below six times that.
 
 Hosts are kept in tables dealt by host; the joins are equi-joins that Spark may split where a host is
 hot, contributions are summed map-side, and nothing but a sum of changes per test reaches the driver.
@@ -29,9 +29,7 @@ from pyspark.sql import functions as F
 
 from .scratch import table
 
-MASS = 10**12
 DAMPING = 85
-STEPS = 10  # of the SQL, as MASS
 UNITS = 10**18
 TOLERANCE = UNITS // 10**6
 ROUNDS = 4
@@ -112,8 +110,8 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     return scored.select("page_id", "host", "path", "rule", F.coalesce("__verdict", own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
-def sql(rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: int = DAMPING) -> str:
-    """``steps`` rounds in units of ``MASS`` for DuckDB over ``pages``, with ratio 1; ``judge`` goes on to its tolerance."""
+def sql(rules: Sequence[tuple[str, str]] = RULES, tolerance: int = TOLERANCE, damping: int = DAMPING, most: int = 40 * ROUNDS) -> str:
+    """The same for DuckDB over ``pages``, with ratio 1: of ``most`` rounds the first tested one within the tolerance."""
     rule, verdict = "NULL", "NULL"
     for kind, text in sorted(rules, key=lambda r: (len(r[1]), [-ord(c) for c in r[1]])):
         site, slash, prefix = text.partition("/")
@@ -131,9 +129,21 @@ def sql(rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: i
         "both_ways AS (SELECT true AS good, src, dst FROM links UNION ALL SELECT false, dst, src FROM links)",
         "edges AS (SELECT *, count(*) OVER (PARTITION BY good, src) AS degree FROM both_ways)",
         "seeds AS (SELECT own = 'allow' AS good, host, count(*) AS n FROM ruled WHERE own IS NOT NULL GROUP BY ALL)",
-        f"s0 AS (SELECT good, host, ({MASS} * n // sum(n) OVER (PARTITION BY good))::BIGINT AS mass FROM seeds)",
+        f"s0 AS (SELECT good, host, ({UNITS}::HUGEINT * n // sum(n) OVER (PARTITION BY good))::BIGINT AS mass FROM seeds)",
+        f"""steps(step, good, host, mass) AS (
+  SELECT 0, good, host, mass FROM s0
+  UNION ALL
+  SELECT step + 1, good, host, sum(mass)::BIGINT FROM (
+    SELECT step, s.good, e.dst AS host, s.mass // (100 * e.degree) * {damping} + s.mass % (100 * e.degree) * {damping} // (100 * e.degree) AS mass FROM steps s JOIN edges e ON s.good = e.good AND s.host = e.src
+    UNION ALL SELECT k.step, s0.good, s0.host, s0.mass // 100 * {100 - damping} + s0.mass % 100 * {100 - damping} // 100 FROM s0, (SELECT DISTINCT step FROM steps) k
+  ) WHERE step < {most} GROUP BY ALL
+)""",
+        f"""changes AS (
+  SELECT step, sum(abs(mass)) AS change FROM (
+    SELECT step, good, host, sum(mass) AS mass FROM (SELECT step, good, host, mass FROM steps UNION ALL SELECT step + 1, good, host, -mass FROM steps) GROUP BY ALL
+  ) GROUP BY step
+)""",
+        f"final AS (SELECT coalesce(min(step), 0) AS step FROM changes WHERE step > 0 AND step % {ROUNDS} = 0 AND step <= {most} AND change <= {tolerance})",
+        "scores AS (SELECT host, coalesce(sum(mass) FILTER (WHERE good), 0)::BIGINT AS trust, coalesce(sum(mass) FILTER (WHERE NOT good), 0)::BIGINT AS distrust FROM steps JOIN final USING (step) GROUP BY host)",
     ]
-    for k in range(1, steps + 1):
-        parts.append(f"s{k} AS (SELECT good, host, sum(mass)::BIGINT AS mass FROM (SELECT e.good, e.dst AS host, s.mass * {damping} // (100 * e.degree) AS mass FROM s{k - 1} s JOIN edges e ON s.good = e.good AND s.host = e.src UNION ALL SELECT good, host, mass * {100 - damping} // 100 FROM s0) GROUP BY ALL)")
-    parts.append(f"scores AS (SELECT host, coalesce(sum(mass) FILTER (WHERE good), 0)::BIGINT AS trust, coalesce(sum(mass) FILTER (WHERE NOT good), 0)::BIGINT AS distrust FROM s{steps} GROUP BY host)")
-    return "WITH " + ",\n".join(parts) + "\nSELECT page_id, r.host, path, rule, coalesce(own, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust FROM ruled r LEFT JOIN scores s ON r.host = s.host"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT page_id, r.host, path, rule, coalesce(own, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust FROM ruled r LEFT JOIN scores s ON r.host = s.host"
