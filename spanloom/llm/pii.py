@@ -4,12 +4,14 @@ One pattern finds candidates, each is validated, and what is valid is permuted w
 keyed Feistel network, so equal values stay equal across documents and nothing is looked up:
 
 - card numbers (13 to 19 digits, Luhn): digits between the first and the last, then a new check digit;
-- telephone numbers: the digits after the country code, first digits of area and exchange in range;
+- telephone numbers of the North American plan (area and exchange from 200): the ten digits, within that range;
+- other telephone numbers with a country code: the digits after the code;
 - IPv4 addresses: four numbers below 256;
 - US social security numbers: area, group and serial number within what is assigned;
 - IBANs (remainder 1 modulo 97): digits and letters after the country, then new check digits;
-- dates of 1800 to 2199 (``yyyy-mm-dd``, ``dd.mm.yyyy``, ``mm/dd/yyyy`` or else ``dd/mm/yyyy``): the day's
-  number in the 400-year cycle, so dates stay dates;
+- dates of 1800 to 2199 (``yyyy-mm-dd``, ``dd.mm.yyyy``, ``mm/dd/yyyy`` or else ``dd/mm/yyyy``): year, month and
+  day within an era (1800-1899, 1900-2039, 2040-2199) and a kind of day (to the 12th, to the 28th, later,
+  29 February), so dates stay dates and a date keeps the one reading that its order of day and month allows;
 - e-mail addresses: letters and digits before the last domain label;
 - access keys (``AKIA...``) and values assigned to names such as ``password`` or ``token``.
 
@@ -20,9 +22,14 @@ A candidate that fails its check as a whole may hold a valid value beside a shor
 number the whole groups of 13 to 19 digits are tried, of an IBAN what ends at a blank, the longest first.  Still open: in longer runs of one separator, as
 in ``2024 4111 1111 1111 1111`` (20 digits), the candidate ends at 19 digits and may miss the card.
 
+Every value has one form before it is permuted (the digits of a number without separators and, in the
+North American plan, without the code; year, month and day of a date), so the same value written in other
+ways gets the same pseudonym, and different values get different ones.  The key is the caller's: who has
+it can undo the permutation.
+
 Defined cases: null texts stay null; texts without candidates stay as they are; candidates that fail
-their validation stay; values written with other separators get the same new digits.  Texts are read
-whole, rows are independent (no shuffle), and other columns pass through.
+their validation stay.  Texts are read whole, rows are independent (no shuffle), and other columns pass
+through.
 """
 
 from __future__ import annotations
@@ -32,9 +39,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "spanloom"
 ROUNDS = 8
-CYCLE = "1800-01-01"  # 146097 days, 189 * 773, make up any 400 years
+#: First and last years of the eras that dates stay in.
+ERAS = ((1800, 1899), (1900, 2039), (2040, 2199))
+#: Length of the country codes that don't have three digits (fixed values of the international numbering plan).
+CODES_1 = "[17]"
+CODES_2 = "2[07]|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 AREAS = 898  # 001-665 and 667-899
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
@@ -146,22 +156,25 @@ def _card(c: Column, key: str) -> Column:
 
 
 def _nanp(c: Column, key: str) -> Column:
+    """Ten digits of which the first and the fourth are from 2 to 9."""
+    first = lambda i: (i == 0) | (i == 3)
+
     def make(d: Column) -> Column:
         own = F.slice(d, F.size(d) - 9, F.lit(10))
-        low = lambda x, i: F.when((i % 3 == 0) & (i < 6) & (x > 1), 2).otherwise(0)
-        base = lambda x, i: F.when((i % 3 == 0) & (i < 6), F.when(x > 1, 8).otherwise(2)).otherwise(10)
-        lows = F.transform(own, low)
-        new = F.zip_with(feistel(F.zip_with(own, lows, lambda a, b: a - b), F.transform(own, base), "phone", key), lows, lambda a, b: a + b)
+        low = F.transform(own, lambda x, i: F.when(first(i), x - 2).otherwise(x))
+        new = F.transform(feistel(low, F.transform(own, lambda x, i: F.when(first(i), 8).otherwise(10)), "phone", key), lambda x, i: F.when(first(i), x + 2).otherwise(x))
         return F.concat(F.slice(d, F.lit(1), F.size(d) - 10), new)
 
-    return _let(_digits(c), lambda d: _refill(c, make(d)))
+    fine = lambda d: (F.get(d, F.size(d) - 10) > 1) & (F.get(d, F.size(d) - 7) > 1)
+    return _let(_digits(c), lambda d: F.when((F.size(d) >= 10) & fine(d), _refill(c, make(d))).otherwise(c))
 
 
 def _phone(c: Column, key: str) -> Column:
-    code = F.length(F.regexp_replace(F.regexp_extract(c, r"^\+[0-9]{1,3}", 0), r"\+", ""))
-    fixed = F.when(c.rlike(r"^\+[0-9]{8,}$"), 2).otherwise(code)
-    make = lambda d: F.concat(F.slice(d, F.lit(1), fixed), feistel(F.slice(d, fixed + 1, F.size(d)), F.array_repeat(F.lit(10), F.size(d) - fixed), "phone+", key))
-    return _let(_digits(c), lambda d: F.when(F.size(d).between(8, 15), _refill(c, make(d))).otherwise(c))
+    """Numbers with a country code, which stays; those of the North American plan as without it."""
+    code = F.when(c.rlike(rf"^\+(?:{CODES_1})"), 1).when(c.rlike(rf"^\+(?:[ .()-]*)(?:{CODES_2})"), 2).otherwise(3)
+    make = lambda d, n: F.concat(F.slice(d, F.lit(1), n), feistel(F.slice(d, n + 1, F.size(d)), F.array_repeat(F.lit(10), F.size(d) - n), "phone+", key))
+    other = lambda d: F.when(F.size(d).between(8, 15), _let(code, lambda n: _refill(c, make(d, n)))).otherwise(c)
+    return _let(_digits(c), lambda d: F.when((F.size(d) == 11) & (d[0] == 1), _nanp(c, key)).otherwise(other(d)))
 
 
 def _ipv4(c: Column, key: str) -> Column:
@@ -183,30 +196,56 @@ def _ssn(c: Column, key: str) -> Column:
     return _let(parts, lambda p: F.when(fine(p), _let(new(p), text)).otherwise(c))
 
 
+#: Months and days after the 28th, without 29 February.
+LATE = [(m, d) for m in range(1, 13) for d in (29, 30, 31) if not (m == 2 or (d == 31 and m in (4, 6, 9, 11)))]
+
+
+def _new_day(p: Column, low: int, high: int, key: str) -> Column:
+    """The pseudonym of a day ``y, m, d`` of one era, as ``y, m, d``."""
+    years, kind = F.lit(high - low + 1), f"date{low}"
+    part = lambda y, m, d: F.struct(_int(y).alias("y"), _int(m).alias("m"), _int(d).alias("d"))
+
+    def spread(days: int, first: int, name: str) -> Column:
+        new = feistel(F.array(p.y - low, p.m - 1, p.d - first), F.array(years, F.lit(12), F.lit(days)), f"{kind}{name}", key)
+        return _let(new, lambda v: part(v[0] + low, v[1] + 1, v[2] + first))
+
+    late = F.array(*[F.lit(m * 100 + d) for m, d in LATE])
+    new_late = feistel(F.array(p.y - low, _int(F.array_position(late, p.m * 100 + p.d)) - 1), F.array(years, F.lit(len(LATE))), f"{kind}late", key)
+    leap = [y for y in range(low, high + 1) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+    leaps = F.array(*map(F.lit, leap))
+    new_leap = feistel(F.array(_int(F.array_position(leaps, p.y)) - 1), F.array(F.lit(len(leap))), f"{kind}leap", key)
+    return (
+        F.when(p.d <= 12, spread(12, 1, "early"))
+        .when(p.d <= 28, spread(16, 13, "middle"))
+        .when(p.m == 2, _let(new_leap, lambda v: part(F.get(leaps, v[0]), F.lit(2), F.lit(29))))
+        .otherwise(_let(new_late, lambda v: part(v[0] + low, F.floor(F.get(late, v[1]) / 100), F.get(late, v[1]) % 100)))
+    )
+
+
 def _date(c: Column, key: str) -> Column:
     iso, dots = c.rlike("^[0-9]{4}-"), c.rlike(r"\.")
     n = lambda at, size: _int(F.substring(c, at, size))
     year = F.when(iso, n(1, 4)).otherwise(n(7, 4))
-    fits = lambda p: p.y.between(1800, 2199) & p.m.between(1, 12) & F.coalesce(p.d.between(1, F.day(F.last_day(F.make_date(p.y, F.when(p.m.between(1, 12), p.m), F.lit(1))))), F.lit(False))
+    fits = lambda p: p.y.between(ERAS[0][0], ERAS[-1][1]) & p.m.between(1, 12) & F.coalesce(p.d.between(1, F.day(F.last_day(F.make_date(p.y, F.when(p.m.between(1, 12), p.m), F.lit(1))))), F.lit(False))
     part = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
     month_first = part(year, n(1, 2), n(4, 2))
     day_first = part(year, n(4, 2), n(1, 2))
 
-    def make(p: Column, kind: str, text: Callable[[Column], Column]) -> Column:
-        number = F.datediff(F.make_date(p.y, p.m, p.d), F.lit(CYCLE).cast("date"))
-        pair = _let(number, lambda x: F.array(F.floor(x / 773).cast("int"), x % 773))
-        new = _let(feistel(pair, F.array(F.lit(189), F.lit(773)), kind, key), lambda v: F.date_add(F.lit(CYCLE).cast("date"), v[0] * 773 + v[1]))
-        return F.when(fits(p), _let(new, text)).otherwise(c)
+    def make(p: Column, text: Callable[[Column], Column]) -> Column:
+        new = F.lit(None)
+        for low, high in ERAS:
+            new = F.when(p.y.between(low, high), _new_day(p, low, high, key)).otherwise(new)
+        return _let(new, text)
 
     two = lambda x: _pad(x, 2)
-    ymd = lambda t: F.concat_ws("-", _pad(F.year(t), 4), two(F.month(t)), two(F.day(t)))
-    dmy = lambda sep: lambda t: F.concat_ws(sep, two(F.day(t)), two(F.month(t)), _pad(F.year(t), 4))
-    mdy = lambda t: F.concat_ws("/", two(F.month(t)), two(F.day(t)), _pad(F.year(t), 4))
-    return (
-        F.when(iso, _let(part(year, n(6, 2), n(9, 2)), lambda p: make(p, "date", ymd)))
-        .when(dots, _let(day_first, lambda p: make(p, "date", dmy("."))))
-        .otherwise(_let(month_first, lambda p: F.when(fits(p), make(p, "date", mdy)).otherwise(_let(day_first, lambda q: make(q, "day-first", dmy("/"))))))
-    )
+    ymd = lambda t: F.concat_ws("-", _pad(t.y, 4), two(t.m), two(t.d))
+    dmy = lambda sep: lambda t: F.concat_ws(sep, two(t.d), two(t.m), _pad(t.y, 4))
+    mdy = lambda t: F.concat_ws("/", two(t.m), two(t.d), _pad(t.y, 4))
+    # The order of the parts first, then one permutation and one text, so that the plan holds it once.
+    read = F.when(iso, F.struct(F.lit(0).alias("order"), part(year, n(6, 2), n(9, 2)).alias("p"))).when(dots, F.struct(F.lit(1).alias("order"), day_first.alias("p")))
+    read = read.otherwise(_let(month_first, lambda p: F.when(fits(p), F.struct(F.lit(2).alias("order"), p.alias("p"))).otherwise(F.struct(F.lit(3).alias("order"), day_first.alias("p")))))
+    write = lambda order: lambda t: F.when(order == 0, ymd(t)).when(order == 1, dmy(".")(t)).when(order == 2, mdy(t)).otherwise(dmy("/")(t))
+    return _let(read, lambda r: F.when(fits(r.p), make(r.p, write(r.order))).otherwise(c))
 
 
 def _chars(text: Column, kind: str, key: str) -> Column:
@@ -268,7 +307,7 @@ def _is(pattern: str, c: Column) -> Column:
     return c.rlike(f"^(?:{pattern})$")
 
 
-def pseudonym(c: Column, key: str = KEY) -> Column:
+def pseudonym(c: Column, key: str) -> Column:
     """What stands for one candidate."""
     return (
         F.when(_is(EMAIL, c), _email(c, key))
@@ -285,7 +324,7 @@ def pseudonym(c: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with the personal data in ``text`` replaced, columns unchanged."""
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), 0)
     new = F.concat(F.transform(found, lambda c: pseudonym(c, key)), F.array(F.lit("")))

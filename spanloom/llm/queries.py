@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from . import chat, embedding_dedup, fingerprint, jaccard_join, language, mixing, pii, sentencepiece_ids, token_file, url_trust
 
 
+#: The key of the query's and the pipeline's pseudonyms, unless the session names one as ``spark.spanloom.pii.key``.
+DEMONSTRATION_KEY = "demonstration"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The session's key for pseudonyms."""
+    return spark.conf.get("spark.spanloom.pii.key", DEMONSTRATION_KEY)
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,7 +79,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its personal data replaced by pseudonyms."""
-    return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
