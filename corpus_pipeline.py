@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import jaccard_join, language, mixing, pii, sentencepiece_ids
+from spanloom.llm.queries import pii_key
 from spanloom.llm.scratch import table
 
 #: A text whose n-grams share less than this with its nearest profile is of no known language.
@@ -40,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: numbers, dates, addresses and keys give way to pseudonyms of the same format."""
-    named = pii.pseudonymise(docs.withColumn("__before", F.length("text")))
+    named = pii.pseudonymise(docs.withColumn("__before", F.length("text")), pii_key(spark))
     return named.withColumn("n_chars", F.coalesce(F.col("n_chars") + F.length("text") - F.col("__before"), F.col("n_chars"))).select(*docs.columns)
 
 
