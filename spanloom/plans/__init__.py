@@ -1,6 +1,8 @@
 """The query slate: modules with ``QUERIES``, and the SQL of most of them."""
 
-from . import analysis_queries, analysis_sql, generation_queries, retrieval_queries, sequence_queries
+from . import analysis_queries, analysis_sql, curation_queries, generation_queries, retrieval_queries, reward_queries, sequence_queries
 
-QUERIES = {**retrieval_queries.QUERIES, **sequence_queries.QUERIES, **analysis_queries.QUERIES, **generation_queries.QUERIES}
-ORACLE_SQL = {**retrieval_queries.ORACLE_SQL, **sequence_queries.ORACLE_SQL, **analysis_sql.ORACLE_SQL, **generation_queries.ORACLE_SQL}
+_MODULES = (retrieval_queries, sequence_queries, analysis_queries, generation_queries, curation_queries, reward_queries)
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in (*_MODULES, analysis_sql) for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
