@@ -50,3 +50,24 @@ def risk(counts: dict[str, Column]) -> tuple[Column, Column]:
 def user_hash(user: Column) -> Column:
     """A user's pseudonym: the first 16 digits of the SHA-256 of the id."""
     return F.substring(F.sha2(user.cast("string"), 256), 1, 16)
+
+
+def redact_hashed(text: Column, digits: int = 6) -> Column:
+    """``text`` with every category replaced by its name and the first digits of the match's MD5 digest.
+
+    A category reads what the ones before left; what lies between matches and the matches' markers are put
+    together again, so no match is looked up.
+    """
+    for _, pattern, label, _ in CATALOG:
+        marks = F.transform(F.regexp_extract_all(text, F.lit(FLAGS + pattern), 0), lambda m, label=label: F.concat(F.lit(f"[{label}_"), F.substring(F.md5(m), 1, digits), F.lit("]")))
+        between = F.split(text, FLAGS + pattern, -1)
+        text = F.array_join(F.zip_with(between, F.concat(marks, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return text
+
+
+def verify_anonymised(texts: dict[str, Column], forbidden: list[Column], flag: Column) -> Column:
+    """What is wrong with an anonymised row: texts with personal data, fields that should be gone, no mark."""
+    found = [F.when(sum((count(c, n) for n, *_ in CATALOG if n not in ("phone", "bank_account")), F.lit(0)) > 0, F.lit(f"personal data in {name}")) for name, c in texts.items()]
+    found += [F.when(c.isNotNull(), F.lit("forbidden field")) for c in forbidden]
+    found.append(F.when(~F.coalesce(flag, F.lit(False)), F.lit("not marked")))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())

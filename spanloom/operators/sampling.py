@@ -51,3 +51,55 @@ def strided(df: DataFrame, key: str, k: int) -> DataFrame:
     """Every ``n // k``-th row in key order, of ids that are numbered from 0."""
     n = df.agg(F.count("*").alias("__n"))
     return df.crossJoin(F.broadcast(n)).filter(F.col(key) % F.greatest(F.floor(F.col("__n") / k), F.lit(1)) == 0).drop("__n")  # one row
+
+
+def uniform(df: DataFrame, key: str, k: int, seed: int = 7) -> DataFrame:
+    """``k`` rows without replacement: the first in the keyed order."""
+    return df.orderBy(place(F.col(key), seed), key).limit(k)
+
+
+def below(df: DataFrame, key: str, share: float, seed: int = 7) -> DataFrame:
+    """The rows whose place is below a share; smaller shares give subsets of larger ones, without a sort."""
+    return df.filter(share_of(F.col(key), seed) < share)
+
+
+def mixture(df: DataFrame, stratum: str, key: str, shares: dict, n: int, seed: int = 7) -> DataFrame:
+    """``draw, stratum, key``: ``n`` draws with replacement, each from a stratum by share and then from its rows alike.
+
+    A draw is a number; its digest picks the stratum and the rank of the row, so only ranks are joined.
+    """
+    u = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{salt}:"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    upto, pick = 0.0, F.lit(None).cast("string")
+    for name, share in reversed(list(shares.items())):
+        pick = F.when(u("stratum") < 1 - upto, F.lit(name)).otherwise(pick) if upto else F.lit(name)
+        upto += share
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn(stratum, pick)
+    ranked = df.select(stratum, key, (F.row_number().over(Window.partitionBy(stratum).orderBy(place(F.col(key), seed), key)) - 1).alias("__rank"))
+    sizes = ranked.groupBy(stratum).agg(F.count("*").alias("__n"))
+    at = draws.join(sizes, stratum).withColumn("__rank", F.floor(u("row") * F.col("__n")).cast("int"))
+    return at.join(ranked, [stratum, "__rank"]).select("draw", stratum, key)
+
+
+def active(df: DataFrame, stratum: str, key: str, weights: dict, seed: int = 7) -> DataFrame:
+    """``floor(n * weight)`` rows of each stratum; strata without a weight go."""
+    w = Window.partitionBy(stratum)
+    share = F.lit(0.0)
+    for name, weight in weights.items():
+        share = F.when(F.col(stratum) == F.lit(name), weight).otherwise(share)
+    ranked = df.withColumn("__at", F.row_number().over(w.orderBy(place(F.col(key), seed), key))).withColumn("__n", F.count("*").over(w))
+    return ranked.filter(F.col("__at") <= F.floor(F.col("__n") * share)).drop("__at", "__n")
+
+
+def batches(df: DataFrame, priority: str, order: list[str], size: int) -> DataFrame:
+    """``df`` with ``batch``: rows in batches by priority, first come first served among equals."""
+    at = F.row_number().over(Window.orderBy(F.desc(priority), *order)) - 1
+    return df.withColumn("batch", F.floor(at / size).cast("long"))
+
+
+def searched(df: DataFrame, order: list[str], limit: int = 1000, like: dict | None = None, **equal) -> DataFrame:
+    """The first ``limit`` rows whose columns equal values or (``like``) hold texts."""
+    for name, value in equal.items():
+        df = df.filter(F.col(name) == F.lit(value))
+    for name, part in (like or {}).items():
+        df = df.filter(F.col(name).contains(part))
+    return df.orderBy(*order).limit(limit)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import distributions
+
 
 def profile(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Count, mean, deviation, range and linear percentiles."""
@@ -119,3 +121,56 @@ def shares(df: DataFrame, by: list[str]) -> DataFrame:
 def upper_median(value: str, n: Column, at: Column) -> Column:
     """The upper of two middle values, by a row number from 1."""
     return F.max(F.when(at == F.floor(n / 2) + 1, F.col(value)))
+
+
+def t_summary(df: DataFrame, by: list[str], value: str, p: float = 0.95) -> DataFrame:
+    """``n, mean, std, low, high``: a Student interval of the mean of each group; null bounds for one value."""
+    s = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    half = distributions.t_interval(p, F.col("n") - 1) * F.col("std") / F.sqrt("n")
+    return s.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
+
+
+def pooled_t(df: DataFrame, side: str, a, b, value: str, by: list[str], tests: int = 1) -> DataFrame:
+    """``t, df, d``, ``p`` and the Bonferroni-corrected ``p_corrected`` (at most 1) of two samples with pooled variance."""
+    x, y = F.when(F.col(side) == F.lit(a), F.col(value)), F.when(F.col(side) == F.lit(b), F.col(value))
+    s = df.groupBy(*by).agg(*[f(c).alias(n) for c, k in ((x, "a"), (y, "b")) for f, n in ((F.count, f"n_{k}"), (F.avg, f"m_{k}"), (F.var_samp, f"v_{k}"))])
+    free = F.col("n_a") + F.col("n_b") - 2
+    pooled = F.try_divide((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b"), free)
+    t = F.try_divide(F.col("m_a") - F.col("m_b"), F.sqrt(pooled * (1 / F.col("n_a") + 1 / F.col("n_b"))))
+    out = s.select(*by, t.alias("t"), free.alias("df"), F.try_divide(F.col("m_a") - F.col("m_b"), F.sqrt(pooled)).alias("d"))
+    return out.withColumn("p", distributions.t_p(F.col("t"), F.col("df"))).withColumn("p_corrected", F.least(F.col("p") * tests, F.lit(1.0)))
+
+
+def signed_rank_p(ranks: DataFrame) -> DataFrame:
+    """``z`` and ``p`` of Wilcoxon's statistic by the normal approximation, for results of :func:`signed_rank`."""
+    n = F.col("n").cast("double")
+    z = F.try_divide(F.col("w") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+    return ranks.withColumn("z", z).withColumn("p", distributions.normal_p(F.col("z")))
+
+
+def icc_interval(found: DataFrame, ratings: DataFrame, item: str, p: float = 0.95) -> DataFrame:
+    """``low, high`` of an intraclass correlation, by F quantiles of its mean squares."""
+    n = ratings.groupBy(item).agg(F.count("*").alias("k")).agg(F.count("*").alias("items"), F.sum("k").alias("all"))
+    both = found.crossJoin(n)  # one row each
+    d1, d2, k = F.col("items") - 1, F.col("all") - F.col("items"), F.col("all") / F.col("items")
+    f = F.col("msb") / F.col("msw")
+    low, high = f / distributions.f_interval((1 + p) / 2, d1, d2), f * distributions.f_interval((1 + p) / 2, d2, d1)
+    return both.select(*found.columns, ((low - 1) / (low + k - 1)).alias("low"), ((high - 1) / (high + k - 1)).alias("high"))
+
+
+def bootstrap(df: DataFrame, by: list[str], key: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
+    """``n, mean, low, high, p``: a Poisson bootstrap of each group's mean.
+
+    Every row weighs a Poisson(1) number, fixed by key, draw and seed, in every draw; so draws are sums that
+    combine map-side, and no task holds a group.  ``p`` is twice the smaller share of draws on one side of 0.
+    """
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("__draw").cast("string"), F.lit(":"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    upto, term, weight = 0.0, 2.718281828459045**-1, F.lit(0)
+    for k in range(1, 9):
+        upto, term = upto + term, term / k
+        weight = weight + F.when(u >= upto, 1).otherwise(0)
+    drawn = df.select(*by, key, value).withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__w", weight)
+    means = drawn.groupBy(*by, "__draw").agg(F.try_divide(F.sum(F.col("__w") * F.col(value)), F.sum("__w")).alias("__m"))
+    ends = means.groupBy(*by).agg(F.percentile("__m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("__m") <= 0).cast("double")).alias("below"))
+    whole = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    return whole.join(ends, by).select(*by, "n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), (2 * F.least(F.col("below"), 1 - F.col("below"))).alias("p"))

@@ -85,8 +85,11 @@ def anonymise(spark, d):
 
 
 def question_type(spark, d):
-    """Kinds of conversation turns by their first word."""
-    return read(spark, d, "conversations").groupBy(scalar.question_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+    """Kinds of turns by their first word; a question word is put before most of them, by the turn's number."""
+    at = F.col("turn") % 8
+    words = F.array(*map(F.lit, ("what", "who", "where", "when", "why", "how")))
+    asked = F.when(at < 6, F.concat_ws(" ", F.get(words, at.cast("int")), "text")).when(at == 6, F.concat(F.lit("Tell what happens: "), "text")).otherwise(F.col("text"))
+    return read(spark, d, "conversations").withColumn("text", asked).groupBy(scalar.question_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def cer_normalised_edit(spark, d):
@@ -211,10 +214,10 @@ def audit_hash_chain(spark, d):
 
 
 def audit_verify(spark, d):
-    """Broken links of chains in which every hundredth entry was changed after the fact."""
+    """Broken links of chains in which every tenth entry was changed after the fact."""
     e = read(spark, d, "events")
     c = governance.chain(e, "user_id", ORDER, governance.record("event_id", "event_type", "props")).select("user_id", F.posexplode("entries").alias("at", "e"))
-    links = c.select("user_id", "at", F.when(F.col("at") % 100 == 99, F.concat(F.col("e.body"), F.lit("!"))).otherwise(F.col("e.body")).alias("body"), F.col("e.hash").alias("hash"))
+    links = c.select("user_id", "at", F.when(F.col("at") % 10 == 9, F.concat(F.col("e.body"), F.lit("!"))).otherwise(F.col("e.body")).alias("body"), F.col("e.hash").alias("hash"))
     return governance.broken(links, "user_id", ["at"], "body", "hash").select("user_id", "at")
 
 
@@ -257,10 +260,56 @@ def lineage_depth(spark, d):
     return lineage.longest_paths(_tree(spark, d).filter("parent != child"))
 
 
-def lineage_cycles(spark, d):
-    """Edges on or behind cycles: the tree with one edge back from every node that divides by 50."""
+def _looped(spark, d):
     back = read(spark, d, "embeddings").filter("vec_id % 50 = 0 AND vec_id > 0").select(F.col("vec_id").alias("parent"), F.expr("vec_id div 4").alias("child"))
-    return lineage.unpeeled(_tree(spark, d).filter("parent != child").union(back)).agg(F.count("*").alias("n"))
+    return _tree(spark, d).filter("parent != child").union(back)
+
+
+def lineage_cycles(spark, d):
+    """Edges on cycles: the tree with one edge back from every node that divides by 50."""
+    return lineage.cyclic(_looped(spark, d))
+
+
+def lineage_path(spark, d):
+    """The way between two nodes of the tree."""
+    found = lineage.path(_tree(spark, d).filter("parent != child"), 37, 401)
+    return spark.createDataFrame(list(enumerate(found)), "at int, node long")
+
+
+def lineage_run_subgraph(spark, d):
+    """The edges around the nodes of one label."""
+    nodes = read(spark, d, "embeddings").filter("vec_id % 7 = 0")
+    return lineage.subgraph(nodes, _tree(spark, d).filter("parent != child"), "vec_id", "label", 3)[1]
+
+
+def lineage_components(spark, d):
+    """Components of the tree without the edges into nodes that divide by ten."""
+    cut = _tree(spark, d).filter("parent != child AND child % 10 != 0")
+    return lineage.components(cut)
+
+
+def lineage_insertable(spark, d):
+    """Edges whose parent has the smaller number, of the tree with edges back."""
+    nodes = read(spark, d, "embeddings").withColumn("at", F.col("vec_id"))
+    return lineage.insertable(nodes, _looped(spark, d), "vec_id", "at")
+
+
+def lineage_validate(spark, d):
+    """What is wrong with a tree some of whose nodes are gone."""
+    nodes = read(spark, d, "embeddings").filter("vec_id % 11 != 3").select("vec_id")
+    return lineage.problems(nodes, _looped(spark, d).filter("parent % 3 != 0 OR child % 50 = 0"), "vec_id")
+
+
+def lineage_export(spark, d):
+    """The tree's edges in two graph languages."""
+    e = _tree(spark, d).filter("parent != child")
+    return lineage.exported(e, "dot").union(lineage.exported(e, "mermaid"))
+
+
+def lineage_tree(spark, d):
+    """All ways up from one node, with cycles marked."""
+    t = lineage.tree(_looped(spark, d), 400)
+    return t.select("node", "depth", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "circular")
 
 
 def stratified_balance(spark, d):

@@ -16,13 +16,15 @@ def _count(name: str) -> str:
 _redacted = "text"
 for _n, (_p, _label, _r) in _catalog.items():
     _redacted = f"regexp_replace({_redacted}, {_lit(privacy.FLAGS + _p)}, '[{_label}]', 'g')"
-_points = " + ".join(f"{_count(n)} * {privacy.RISK[_catalog[n][2]]}" for n in ("email", "ssn", "ip_address", "aws_access_key", "api_key", "mac_address"))
+_points = " + ".join(f"{_count(n)} * {privacy.RISK[_catalog[n][2]]}" for n in _catalog)
 _standard = "CASE " + " ".join(f"WHEN s % 61 >= {lo}::DOUBLE AND s % 61 < {hi}::DOUBLE THEN {v}::DOUBLE" for v, lo, hi in scalar.FPS_STANDARDS) + " ELSE s % 61 END"
 _record = "concat_ws('|', " + ", ".join(f"length(coalesce({c}::VARCHAR, '')) || ':' || coalesce({c}::VARCHAR, '')" for c in ("event_id", "event_type", "props")) + ")"
 _place = lambda key: f"md5('7:' || {key}::VARCHAR)"
 _tree = "tree AS (SELECT vec_id // 2 AS parent, vec_id AS child FROM embeddings WHERE vec_id > 1 OR vec_id = 1)"
 _age = "(epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) // 1000000 / 3600.0::DOUBLE"
 
+_looped = "edges AS (SELECT vec_id // 2 AS parent, vec_id AS child FROM embeddings WHERE vec_id > 0 AND vec_id // 2 <> vec_id UNION SELECT vec_id, vec_id // 4 FROM embeddings WHERE vec_id % 50 = 0 AND vec_id > 0)"
+
 ORACLE_SQL = {
     "latency_profile_percentiles": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, " + ", ".join(f"round(quantile_cont(value, {q / 100}), 6) AS p{q}" for q in (50, 90, 95, 99)) + " FROM events GROUP BY event_type",
     "quality_distribution": """WITH j AS (SELECT lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)), l AS (
@@ -39,21 +41,19 @@ ORACLE_SQL = {
     "pii_risk": f"WITH p AS (SELECT doc_id, ({_points})::BIGINT AS points FROM documents) SELECT doc_id, points, CASE WHEN points = 0 THEN 'none' WHEN points < 10 THEN 'low' WHEN points < 50 THEN 'medium' ELSE 'high' END AS level FROM p",
     "pii_redact_plain": f"WITH r AS (SELECT doc_id, {_redacted} AS t FROM documents) SELECT doc_id, length(t)::INT AS chars, md5(t) AS digest FROM r",
     "anonymise": "SELECT event_id, substr(sha256(user_id::VARCHAR), 1, 16) AS user_hash, event_type, true AS anonymised FROM events",
-    "question_type": "SELECT CASE " + " ".join(f"WHEN starts_with(lower(text), '{w}') THEN '{w}'" for w in scalar.QUESTION_WORDS) + " WHEN contains(lower(text), 'what happens') THEN 'event' ELSE 'other' END AS kind, count(*) AS n FROM conversations GROUP BY ALL",
-    "cer_normalised_edit": """WITH t AS (SELECT conv_id, regexp_replace(substr(text, 1, 80), '[^ -~]', '?', 'g') AS t FROM conversations WHERE turn = 0) SELECT a.conv_id, round(CASE WHEN length(b.t) > 0 THEN edit_dist3(a.t, b.t) / length(b.t)::DOUBLE WHEN length(a.t) > 0 THEN 1 ELSE 0 END, 6) AS cer,
-      round(coalesce(edit_dist3(a.t, b.t) / nullif(greatest(length(a.t), length(b.t)), 0)::DOUBLE, 0), 6) AS distance FROM t a JOIN t b ON b.conv_id = a.conv_id + 1""".replace("edit_dist3", "levenshtein"),
+    "question_type": "WITH q AS (SELECT CASE WHEN turn % 8 < 6 THEN list_extract(['what', 'who', 'where', 'when', 'why', 'how'], (turn % 8 + 1)::INT) || ' ' || text WHEN turn % 8 = 6 THEN 'Tell what happens: ' || text ELSE text END AS text FROM conversations) SELECT CASE " + " ".join(f"WHEN starts_with(lower(text), '{w}') THEN '{w}'" for w in scalar.QUESTION_WORDS) + " WHEN contains(lower(text), 'what happens') THEN 'event' ELSE 'other' END AS kind, count(*) AS n FROM q GROUP BY ALL",
     "timecode_suite": f"WITH e AS (SELECT event_id, (epoch_us(ts) % 3600000000) / 1e6::DOUBLE AS s FROM events) SELECT event_id, floor(s * 29.97::DOUBLE)::BIGINT AS floor, ceil(s * 29.97::DOUBLE)::BIGINT AS ceil, round(floor(s)::BIGINT / 29.97::DOUBLE, 6) AS time, {_standard} AS standard FROM e",
     "geometry_suite": """WITH p AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS x, (p_retailprice % 100) / 100.0::DOUBLE AS y FROM part),
       i AS (SELECT *, greatest(0, least(x + 0.2::DOUBLE, 0.9::DOUBLE) - greatest(x, 0.4::DOUBLE)) * greatest(0, least(y + 0.3::DOUBLE, 0.9::DOUBLE) - greatest(y, 0.4::DOUBLE)) AS both_ FROM p)
       SELECT p_partkey, round(both_ / (0.2::DOUBLE * 0.3::DOUBLE + 0.25::DOUBLE - both_), 6) AS iou, round(CASE WHEN y > 0 THEN x / y ELSE 0 END, 6) AS aspect,
       CASE WHEN x * y < 0.01 THEN 'tiny' WHEN x * y < 0.05 THEN 'small' WHEN x * y < 0.2 THEN 'medium' WHEN x * y < 0.5 THEN 'large' ELSE 'very_large' END AS band, CASE WHEN y < 0.5 THEN 'top' ELSE 'bottom' END || '_' || CASE WHEN x < 0.5 THEN 'left' ELSE 'right' END AS quadrant FROM i""",
     "priority_decay": f"""WITH e AS (SELECT event_id, value / 500 AS u, {_age} AS age FROM events) SELECT event_id, round((0.5 * u + 0.25) * pow(0.95::DOUBLE, age), 6) AS priority, round(greatest(0.4 * u, 0.01), 6) AS initial, round(u * 0.625 * exp(-age / 24) * 0.875, 6) AS weight FROM e""",
-    "fleiss_kappa": """WITH l AS (SELECT l_orderkey, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS k FROM lineitem) WHERE pos <= 2 AND k >= 2),
-      c AS (SELECT l_orderkey, l_returnflag, count(*) AS c FROM l GROUP BY ALL), o AS (SELECT avg(p) AS observed FROM (SELECT (sum(c * c) - 2) / 2.0 AS p FROM c GROUP BY l_orderkey)),
-      h AS (SELECT sum(n * n) / (sum(n) * sum(n))::DOUBLE AS chance FROM (SELECT l_returnflag, sum(c) AS n FROM c GROUP BY l_returnflag))
+    "fleiss_kappa": """WITH c AS (SELECT l_orderkey, l_returnflag, count(*) AS c FROM lineitem GROUP BY ALL), i AS (SELECT sum(c) AS n, sum(c * c) AS sq FROM c GROUP BY l_orderkey), o AS (SELECT avg((sq - n) / (n * (n - 1))::DOUBLE) AS observed FROM i WHERE n > 1),
+      h AS (SELECT sum(n * n) / (sum(n) * sum(n))::DOUBLE AS chance FROM (SELECT sum(c) AS n FROM c GROUP BY l_returnflag))
       SELECT round(observed, 6) AS observed, round(chance, 6) AS chance, round((observed - chance) / (1 - chance), 6) AS kappa FROM o, h""",
-    "icc": """WITH g AS (SELECT l_orderkey, avg(l_quantity) AS m, sum(l_quantity * l_quantity) AS sq FROM lineitem GROUP BY l_orderkey HAVING count(*) = 2), s AS (SELECT count(*) AS n, 2 * var_samp(m) AS msb, sum(sq - 2 * m * m) / count(*) AS msw FROM g)
-      SELECT n, round(msb, 6) AS msb, round(msw, 6) AS msw, round((msb - msw) / (msb + msw), 6) AS icc FROM s""",
+    "icc": """WITH g AS (SELECT count(*)::DOUBLE AS k, avg(l_quantity) AS m, var_pop(l_quantity) AS v FROM lineitem GROUP BY l_orderkey), s AS (SELECT count(*) AS n, sum(k) AS total, sum(k * k) AS kk, sum(k * m) AS km, sum(k * m * m) AS kmm, sum(k * v) AS within FROM g),
+      q AS (SELECT n, (kmm - km * km / total) / (n - 1) AS msb, within / (total - n) AS msw, (total - kk / total) / (n - 1) AS k0 FROM s)
+      SELECT n, round(msb, 6) AS msb, round(msw, 6) AS msw, round((msb - msw) / (msb + (k0 - 1) * msw), 6) AS icc FROM q""",
     "cohen_weighted": """WITH l AS (SELECT floor(l_quantity / 10.001::DOUBLE)::INT AS a, floor(l_discount * 49)::INT AS b FROM lineitem), e AS (SELECT sum(abs(x.a - y.b) / 4.0::DOUBLE * x.n * y.n) AS e FROM (SELECT a, count(*) AS n FROM l GROUP BY a) x, (SELECT b, count(*) AS n FROM l GROUP BY b) y)
       SELECT count(*) AS n, round(1 - avg(abs(a - b) / 4.0::DOUBLE) / (any_value(e) / (count(*) * count(*))), 6) AS kappa FROM l, e""",
     "ttest_and_wilcoxon": """WITH l AS (SELECT l_returnflag, l_quantity - round(l_extendedprice / 2000, 1) AS d FROM lineitem), t AS (SELECT l_returnflag, count(*) AS n, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, round(avg(d) / stddev_pop(d), 6) AS d FROM l GROUP BY ALL),
@@ -77,10 +77,26 @@ ORACLE_SQL = {
       SELECT user_id, event_id FROM k""",
     "audit_hash_chain": f"""WITH b AS (SELECT user_id, list({_record} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id)
       SELECT user_id, len(l)::INT AS n, list_reduce(list_prepend('', l), lambda a, x: sha256(a || '|' || x)) AS last FROM b""",
-    "audit_verify": "SELECT user_id, pos::INT AS \"at\" FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) WHERE pos % 100 = 99",
+    "audit_verify": "SELECT user_id, pos::INT AS \"at\" FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) WHERE pos % 10 = 9",
     "recover_snapshot_plus_wal": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
     "dedup_content_hash": "SELECT sha256(coalesce(text, '')) AS hash, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY ALL",
     "artifact_versions": "SELECT o_custkey, count(*)::INT AS version FROM orders GROUP BY o_custkey",
+    "lineage_cycles": f"WITH RECURSIVE {_looped}, r(start, node) AS (SELECT child, child FROM edges UNION SELECT r.start, e.child FROM r JOIN edges e ON e.parent = r.node) SELECT parent, child FROM edges WHERE (child, parent) IN (SELECT start, node FROM r)",
+    "lineage_path": """WITH RECURSIVE up(node, depth) AS (SELECT 37::BIGINT, 0 UNION ALL SELECT node // 2, depth + 1 FROM up WHERE node > 0), back(node, depth) AS (SELECT 401::BIGINT, 0 UNION ALL SELECT node // 2, depth + 1 FROM back WHERE node > 0),
+      meet AS (SELECT up.node, up.depth AS a, back.depth AS b FROM up JOIN back USING (node) ORDER BY up.depth + back.depth LIMIT 1)
+      SELECT up.depth AS "at", up.node FROM up, meet WHERE up.depth <= a UNION ALL SELECT a + b - back.depth, back.node FROM back, meet WHERE back.depth < b""",
+    "lineage_run_subgraph": """WITH RECURSIVE edges AS (SELECT vec_id // 2 AS parent, vec_id AS child FROM embeddings WHERE vec_id > 0), own AS (SELECT vec_id AS node FROM embeddings WHERE vec_id % 7 = 0 AND label = 3),
+      up(node) AS (SELECT node FROM own UNION SELECT parent FROM up JOIN edges ON child = node), down(node) AS (SELECT node FROM own UNION SELECT child FROM down JOIN edges ON parent = node), near AS (SELECT node FROM up UNION SELECT node FROM down)
+      SELECT parent, child FROM edges WHERE parent IN (SELECT node FROM near) AND child IN (SELECT node FROM near)""",
+    "lineage_components": """WITH RECURSIVE edges AS (SELECT vec_id // 2 AS parent, vec_id AS child FROM embeddings WHERE vec_id > 0 AND vec_id % 10 <> 0), both_ways AS (SELECT parent AS a, child AS b FROM edges UNION SELECT child, parent FROM edges),
+      r(node, other) AS (SELECT a, a FROM both_ways UNION SELECT node, b FROM r JOIN both_ways ON a = other) SELECT node, min(other) AS component FROM r GROUP BY node""",
+    "lineage_insertable": f"WITH {_looped} SELECT parent, child FROM edges WHERE parent < child AND parent IN (SELECT vec_id FROM embeddings)",
+    "lineage_validate": f"""WITH RECURSIVE {_looped}, e AS (SELECT * FROM edges WHERE parent % 3 <> 0 OR child % 50 = 0), nodes AS (SELECT vec_id FROM embeddings WHERE vec_id % 11 <> 3), r(start, node) AS (SELECT child, child FROM e UNION SELECT r.start, e.child FROM r JOIN e ON e.parent = r.node)
+      SELECT DISTINCT 'missing' AS kind, child AS node FROM e WHERE parent NOT IN (SELECT vec_id FROM nodes) UNION SELECT DISTINCT 'cycle', child FROM e WHERE (child, parent) IN (SELECT start, node FROM r)
+      UNION SELECT 'orphan', vec_id FROM nodes WHERE vec_id NOT IN (SELECT parent FROM e) AND vec_id NOT IN (SELECT child FROM e)""",
+    "lineage_export": """SELECT '  "' || vec_id // 2 || '" -> "' || vec_id || '";' AS line FROM embeddings WHERE vec_id > 0 UNION ALL SELECT '    ' || vec_id // 2 || ' --> ' || vec_id FROM embeddings WHERE vec_id > 0""",
+    "lineage_tree": f"""WITH RECURSIVE {_looped}, r(node, depth, path, circular) AS (SELECT 400::BIGINT, 0, [400::BIGINT], false UNION ALL SELECT e.parent, depth + 1, list_append(path, e.parent), list_contains(path, e.parent) FROM r JOIN edges e ON e.child = r.node WHERE NOT circular)
+      SELECT node, depth, array_to_string(path, '-') AS path, circular FROM r""",
     "lineage_descendants": f"WITH RECURSIVE {_tree}, r(start, node, depth) AS (SELECT vec_id, vec_id, 0 FROM embeddings WHERE vec_id % 20 = 0 UNION SELECT start, child, depth + 1 FROM r JOIN tree ON parent = node AND parent <> child) SELECT start, node, depth FROM r WHERE depth > 0",
     "lineage_ancestors": f"WITH RECURSIVE {_tree}, r(start, node, depth) AS (SELECT vec_id, vec_id, 0 FROM embeddings WHERE vec_id % 20 = 0 UNION SELECT start, parent, depth + 1 FROM r JOIN tree ON child = node AND parent <> child) SELECT start, node, depth FROM r WHERE depth > 0",
     "lineage_depth": f"WITH RECURSIVE {_tree}, r(node, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT child, depth + 1 FROM r JOIN tree ON parent = node AND parent <> child) SELECT node, max(depth) AS depth FROM r GROUP BY node",
