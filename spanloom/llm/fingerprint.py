@@ -1,14 +1,15 @@
 """Document fingerprints: a threshold-scaled sketch of each text's shingle hashes.
 
-A sketch keeps every shingle hash below ``fraction`` of the hash range, so sketches of unequal texts
-stay comparable, and merge by union.  Short texts, whose share may be empty, keep their ``floor``
-smallest hashes; such a sketch is complete up to its own limit (all of the range when it holds every
-shingle).  Two sketches are compared below the smaller limit, where both are complete: shared hashes
-over the smaller count estimate containment, over the union Jaccard likeness.
-
-Serialised form: base64 of the little-endian limit and the sorted hashes.  Texts with no shingle
-(null, empty or white space only) have a complete sketch without hashes; two of those are alike (1),
-and one of them is unlike any other text (0).
+A sketch keeps every shingle hash below ``fraction`` of the hash range, of short and of long texts alike,
+so sketches of very unequal texts stay comparable, and merge by union.  Shared hashes over the smaller
+count estimate containment of the smaller text in the larger, over the union Jaccard likeness.  Next to
+each likeness stands how many hashes of the smaller sketch it rests on: 0 says that nothing was compared
+(a text of few shingles may have none below the limit), and then the likeness is 0.  A digest of all shingles
+tells equal sets, whose likeness is 1 whatever was kept; a merged sketch has none.
+
+Serialised form: base64 of the little-endian limit, the digest and the sorted hashes.  Texts with no
+shingle (null, empty or white space only) have limit and digest 0; two of those are alike (1, resting on no
+hash), and one of them is unlike any other text (0).
 """
 
 from __future__ import annotations
@@ -26,41 +27,33 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .ranges import cut_points, part_of
 from .shingles import WIDTH, shingle_sets
 
-FRACTION = 1 / 16
-FLOOR = 16
+FRACTION = 1 / 4
 FULL = (1 << 64) - 1
 
 
-def sketch(hashes: np.ndarray, fraction: float = FRACTION, floor: int = FLOOR) -> np.ndarray:
-    """The limit, then the kept hashes, of sorted distinct shingle hashes."""
-    limit = int(fraction * FULL)
+def sketch(hashes: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The limit, the digest, then the kept hashes, of sorted distinct shingle hashes."""
+    limit = int(fraction * FULL) if len(hashes) else 0
     n = int(np.searchsorted(hashes, np.uint64(limit), side="right"))
-    if n < floor:
-        n = min(floor, len(hashes))
-        limit = int(hashes[n - 1]) if n < len(hashes) else FULL
-    elif n == len(hashes):
-        limit = FULL
-    return np.concatenate([np.array([limit], dtype="<u8"), hashes[:n].astype("<u8")])
+    return np.concatenate([np.array([limit], dtype="<u8"), hashes.sum(dtype="<u8", keepdims=True), hashes[:n].astype("<u8")])
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of the union of two texts' shingles."""
-    limit = min(a[0], b[0])
-    both = np.union1d(a[1:], b[1:])
-    return np.concatenate([np.array([limit], dtype="<u8"), both[both <= limit]])
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """Estimated containment of the smaller text in the larger, and Jaccard likeness."""
-    limit = min(a[0], b[0])
-    x = a[1 : 1 + int(np.searchsorted(a[1:], limit, side="right"))]
-    y = b[1 : 1 + int(np.searchsorted(b[1:], limit, side="right"))]
-    if not len(x) or not len(y):
-        same = float(len(x) == len(y) and len(a) == len(b))
-        return same, same
+    """The sketch of the union of two texts' shingles, without a digest."""
+    return np.concatenate([np.maximum(a[:1], b[:1]), np.zeros(1, dtype="<u8"), np.union1d(a[2:], b[2:])])
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float, int]:
+    """Estimated containment of the smaller text in the larger, Jaccard likeness, and the number of hashes they rest on."""
+    x, y = a[2:], b[2:]
+    least = min(len(x), len(y))
+    if a[1] == b[1] and (a[1] or not a[0] and not b[0]):
+        return 1.0, 1.0, least
+    if not least:
+        return 0.0, 0.0, 0
     at = np.searchsorted(y, x)
     shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return shared / min(len(x), len(y)), shared / (len(x) + len(y) - shared)
+    return shared / least, shared / (len(x) + len(y) - shared), least
 
 
 def encode(s: np.ndarray) -> str:
@@ -116,11 +109,11 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     follow one another by text; null keys are the smallest.  A table of one row is its own next.
     """
     laid = with_predecessors(df, key, text).sortWithinPartitions("__part", "__own", F.col("__key").asc_nulls_first(), "__text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double, compared_edited long, compared_next long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, before_part, before_sketch = "", None, None
-        target = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], *[(c, pa.float64()) for c in ("near_edited", "near_next", "jaccard_edited", "jaccard_next")]])
+        target = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], *[(c, pa.float64()) for c in ("near_edited", "near_next", "jaccard_edited", "jaccard_next")], ("compared_edited", pa.int64()), ("compared_next", pa.int64())])
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 rows = batch.slice(lo, 512)
@@ -138,7 +131,7 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", width:
                     if own[i]:
                         near = likeness(made[i], made[m + i])
                         follow = likeness(made[i], before_sketch if before_sketch is not None else made[i])
-                        out.append((keys[i], len(texts[i]), hashlib.sha256(edits[i].encode()).hexdigest(), encode(made[i]), encode(made[m + i]), near[0], follow[0], near[1], follow[1]))
+                        out.append((keys[i], len(texts[i]), hashlib.sha256(edits[i].encode()).hexdigest(), encode(made[i]), encode(made[m + i]), near[0], follow[0], near[1], follow[1], near[2], follow[2]))
                     before_sketch = made[i]
                 before = texts[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target) if out else pa.RecordBatch.from_pylist([], schema=target)
