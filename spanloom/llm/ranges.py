@@ -21,8 +21,20 @@ def cut_points(rows: DataFrame, key: str, text: str, bytes_per_part: int = 32 <<
     return sorted({int(c) for c in at})
 
 
-def part_of(key: str, cuts: list[int]) -> Column:
-    """The number of the part of a key."""
+def part_of(key: str, cuts: list[int], step: int = 64) -> Column:
+    """The number of the part of a key: how many cut points are at most the key.
+
+    Every ``step``-th cut point is tried first, and then those between two of them, level by level, so the
+    work per row grows with the logarithm of the number of parts.
+    """
     if not cuts:
         return F.lit(0)
-    return F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(key))))
+    # From the coarsest level to the cut points themselves: how many of a level are at most the key.
+    levels = [cuts]
+    while len(levels[-1]) > step:
+        levels.append(levels[-1][step - 1 :: step])
+    found = F.size(F.filter(F.lit(levels[-1]), lambda c: c <= F.col(key)))
+    for level in levels[-2::-1]:
+        inside = lambda n, level=level: n * step + F.size(F.filter(F.slice(F.lit(level), n * step + 1, F.lit(step)), lambda c: c <= F.col(key)))
+        found = F.element_at(F.transform(F.array(found), inside), 1)
+    return F.when(F.col(key).isNull(), 0).otherwise(found)
