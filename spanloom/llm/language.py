@@ -5,8 +5,9 @@ order of frequency.  A document's own list is compared with each profile: every
 costs the difference of its two places, or the profile's length if it isn't there.  The language of the
 least total is the prediction, and the score is 1 less the mean cost as a share of the largest cost.
 
-Profiles are fitted on at most ``docs_per_lang`` labelled texts of each language, those of the smallest
-hash of the text; ranks within a task are cut before the shuffle, so a hot language stays small.
+Profiles are fitted on at most ``docs_per_lang`` different labelled texts of each language, those of the
+smallest hash of the text.  How many texts have a hash with so many leading zeros is counted first; it
+gives each language a bound, and only texts below it (about as many as are wanted) are shuffled.
 
 Defined cases: texts that are null or hold no letter are ``und`` with score 0, and so is everything if
 nothing was labelled; equal texts get equal answers; of languages at equal distance the first by code
@@ -50,26 +51,39 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-gram codes of a text in order, and how often each occurs."""
-    letters = _letters()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")]
-    before = np.concatenate([[np.uint64(0)], letters[:-1]]) if len(letters) else letters
-    a = np.concatenate([[0], letters[(letters != 0) | (before != 0)], [0]]).astype(np.uint64)
-    if len(a) > 3 and not a[-2]:
-        a = a[:-1]
+    """The distinct n-gram codes of a text in order, and how often each occurs.
+
+    Runs of other signs than letters are one blank.  A text is taken ``CHUNK`` signs at a time, each with
+    the last two signs of what came before, so memory doesn't grow with its length.
+    """
     codes, counts = [], []
-    for lo in range(0, len(a), CHUNK):
-        x = a[lo : lo + CHUNK + 2]
-        own = min(CHUNK, len(a) - lo)
-        one = x[:own][x[:own] != 0]
-        two = (x[:-1] << np.uint64(21) | x[1:])[:own] | np.uint64(1 << 43)
-        mid = x[1:-1] != 0
-        three = (x[:-2] << np.uint64(42) | x[1:-1] << np.uint64(21) | x[2:])[mid] | np.uint64(1 << 63)
+    tail, last = np.zeros(1, dtype=np.uint64), np.uint64(0)
+
+    def add(fresh: np.ndarray) -> None:
+        nonlocal tail
+        x, k = np.concatenate([tail, fresh]), len(tail)
+        one = fresh[fresh != 0]
+        two = (x[:-1] << np.uint64(21) | x[1:])[k - 1 :] | np.uint64(1 << 43)
+        middle = x[1:-1] != 0
+        three = (x[:-2] << np.uint64(42) | x[1:-1] << np.uint64(21) | x[2:])[max(0, k - 2) :][middle[max(0, k - 2) :]] | np.uint64(1 << 63)
         both = np.sort(np.concatenate([one, two, three]))
-        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, dtype=np.int64)
-        codes.append(both[first])
-        counts.append(np.diff(np.concatenate([first, [len(both)]])))
+        if len(both):
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            codes.append(both[first])
+            counts.append(np.diff(np.append(first, len(both))))
+        tail = x[-2:]
+
+    for lo in range(0, len(text), CHUNK):
+        letters = _letters()[np.frombuffer(text[lo : lo + CHUNK].encode("utf-32-le", "replace"), dtype="<u4")]
+        before = np.concatenate([[last], letters[:-1]])
+        last = letters[-1]
+        add(letters[(letters != 0) | (before != 0)])
+    if tail[-1]:
+        add(np.zeros(1, dtype=np.uint64))
     if len(codes) == 1:
         return codes[0], counts[0]
+    if not codes:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     both, place = np.unique(np.concatenate(codes), return_inverse=True)
     return both, np.bincount(place, weights=np.concatenate(counts), minlength=len(both)).astype(np.int64)
 
@@ -98,9 +112,19 @@ class Profiles:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, profile: int = PROFILE) -> Profiles:
     """Profiles from rows with a language; what reaches the driver is ``profile`` rows per language."""
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = rows.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= docs_per_lang).select("lang", "text")
+    # Hashes of 63 bits; a level is the number of their leading zeros.
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    level = F.lit(63) - F.length(F.bin("h"))
+    counts = rows.select("lang", "h", level.alias("level")).groupBy("lang", "level").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    upto = Window.partitionBy("lang").orderBy(F.desc("level"))  # at most 64 rows a language
+    enough = counts.withColumn("all", F.sum("n").over(upto)).groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("all") >= 1.2 * docs_per_lang, F.col("level"))), F.lit(-1)).alias("least"))
+    bounds = {r["lang"]: r["least"] for r in enough.collect()}  # one row a language
+    wanted = F.lit(False)
+    for name, least in bounds.items():
+        wanted = wanted | ((F.col("lang") == name) & (level >= least))
+    near = rows.filter(wanted).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy("h")
+    sample = near.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= docs_per_lang).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
