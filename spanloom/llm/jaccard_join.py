@@ -110,16 +110,17 @@ def _segments(df: DataFrame, text: str, width: int, fragments: int) -> DataFrame
                 part = _fragment(hashes, fragments)
                 order = np.argsort(part, kind="stable")
                 hashes, owner, part = hashes[order], owner[order], part[order]
-                ends = np.searchsorted(part, np.arange(fragments + 1))
                 home = names % fragments
+                by_home = np.argsort(home, kind="stable")
+                here = np.union1d(part, home)  # only fragments that this slice has something for
+                ends, homes = np.searchsorted(part, np.append(here, fragments)), np.searchsorted(home[by_home], np.append(here, fragments))
                 made = []
-                for f in range(fragments):
-                    own = owner[ends[f] : ends[f + 1]]
+                for k, f in enumerate(here.tolist()):
+                    own = owner[ends[k] : ends[k + 1]]
                     first = _runs(own)
-                    mine = np.flatnonzero(home == f)
-                    if len(first) or len(mine):
-                        lengths = np.diff(np.concatenate([first, [len(own)]])).astype("<u4")
-                        made.append((f, _pack(names[own[first]], lengths, hashes[ends[f] : ends[f + 1]], names[mine], n[mine])))
+                    mine = by_home[homes[k] : homes[k + 1]]
+                    lengths = np.diff(np.concatenate([first, [len(own)]])).astype("<u4")
+                    made.append((f, _pack(names[own[first]], lengths, hashes[ends[k] : ends[k + 1]], names[mine], n[mine])))
                 yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], names=["fragment", "blob"])
         settle()
 
