@@ -123,13 +123,19 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, least(source_size * 2.0::DOUBLE, weight * level) AS target FROM ranked, level
 ), rates AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0 ELSE t.target / t.source_size END AS rate,
-    ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'text:' || coalesce(d.text, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT *, CASE WHEN source_size = 0 THEN 0::DOUBLE ELSE target / source_size END AS rate FROM targets
+), draws AS (
+  SELECT *, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM sized
+), steps AS (
+  SELECT source, floor(draw * 4096)::INT AS step, sum(size) AS words FROM draws GROUP BY ALL
+), ends AS (
+  SELECT source, (step + 1) / 4096.0::DOUBLE AS pos, sum(words) OVER (PARTITION BY source ORDER BY step) AS words FROM steps
+  UNION ALL SELECT source, 0, 0 FROM rates
+), thresholds AS (
+  SELECT r.source, pos, row_number() OVER (PARTITION BY r.source ORDER BY abs(words - (rate - floor(rate)) * source_size), pos) AS nth FROM ends e JOIN rates r ON e.source IS NOT DISTINCT FROM r.source
 )
-SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM rates
+SELECT d.doc_id, d.size, r.source_size, r.target, (d.size * (floor(rate) + CASE WHEN draw < pos THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM draws d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN thresholds t ON r.source IS NOT DISTINCT FROM t.source AND nth = 1
 """
 
 _OP3 = r"""
