@@ -80,3 +80,69 @@ def curriculum(df: DataFrame, key: str, order: list[str], metric: str, goals: li
         return F.struct(F.when(done, s.stage + 1).otherwise(s.stage).alias("stage"), F.when(done, 0).otherwise(streak).alias("streak"))
 
     return df.groupBy(key).agg(values.alias("v")).select(key, F.aggregate("v", start, step, lambda s: s.stage).alias("stage"))
+
+
+#: Operations that distract from a first operation, and the thoughts that lead back.
+DISTRACTORS = {"ZOOM_IN": ("READ_TEXT", "GET_PROPERTIES"), "SEGMENT_OBJECT_AT": ("ZOOM_IN", "TRACK_OBJECT"), "READ_TEXT": ("SEGMENT_OBJECT_AT", "ZOOM_IN"), "GET_PROPERTIES": ("READ_TEXT", "TRACK_OBJECT")}
+THOUGHTS = {"ZOOM_IN": ("This is too far away to read.", "Properties need a closer look."), "SEGMENT_OBJECT_AT": ("Zooming does not separate it.", "There is nothing to follow yet."), "READ_TEXT": ("There is text to read first.", "The text is large enough.")}
+
+
+def _pick(options, key: Column) -> Column:
+    at = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % len(options)
+    return F.element_at(F.array(*map(F.lit, options)), (at + 1).cast("int"))
+
+
+def distractor(op: Column, key: Column) -> Column:
+    """An operation that leads away from the first one, by a digest of the key; segmentation for unknown ones."""
+    out = F.lit("SEGMENT_OBJECT_AT")
+    for name, options in DISTRACTORS.items():
+        out = F.when(op == name, _pick(options, key)).otherwise(out)
+    return out
+
+
+def corrective(op: Column, key: Column) -> Column:
+    """The thought that leads back from a distractor."""
+    out = F.lit("That did not help.")
+    for name, options in THOUGHTS.items():
+        out = F.when(op == name, _pick(options, key)).otherwise(out)
+    return out
+
+
+def wrong_count(count: Column, key: Column) -> Column:
+    """A count that is one too many or one too few (0 at least), by a digest of the key."""
+    odd = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % 2
+    return F.when(odd == 0, count + 1).otherwise(F.greatest(count - 1, F.lit(0)))
+
+
+def first_and_last(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """``first, last, n``: where a track of two rows at least begins and ends."""
+    pick = F.struct(*order, value)
+    s = rows.groupBy(*keys).agg(F.min(pick)[value].alias("first"), F.max(pick)[value].alias("last"), F.count("*").alias("n"))
+    return s.filter("n >= 2")
+
+
+def projected(rows: DataFrame, key: str, most: int, **fields: Column) -> DataFrame:
+    """The first ``most`` rows by key as tasks."""
+    return rows.orderBy(key).limit(most).select(key, *[c.alias(n) for n, c in fields.items()])
+
+
+def trapped(rows: DataFrame, key: str, order: list[str], column: str, at: int, wrong: str) -> DataFrame:
+    """Sequences whose ``at``-th value is replaced."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("__at", F.row_number().over(w)).withColumn(column, F.when(F.col("__at") == at, wrong).otherwise(F.col(column))).drop("__at")
+
+
+def mixed(rows: DataFrame, key: str, shares: dict[str, float], seed: int = 7) -> DataFrame:
+    """``rows`` with ``kind``, in shares that sum to 1, by a digest of the key."""
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    names = list(shares)
+    out, upto = F.lit(names[-1]), 1.0
+    for name in reversed(names[:-1]):
+        upto = sum(shares[n] for n in names[: names.index(name) + 1])
+        out = F.when(u < upto, name).otherwise(out)
+    return rows.withColumn("kind", out)
+
+
+def zooms(rows: DataFrame, levels: list[float], side: str) -> DataFrame:
+    """One row per zoom level with the side of what is cut out."""
+    return rows.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).select(*[c for c in rows.columns if c != side], "level", (F.col(side) / F.col("level")).alias("side"))
