@@ -6,6 +6,8 @@ of the parts, never what a result holds.  Rows with equal keys share a part; nul
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,10 @@ def part_of(key: str, cuts: list[int], step: int = 64) -> Column:
         levels.append(levels[-1][step - 1 :: step])
     found = F.size(F.filter(F.lit(levels[-1]), lambda c: c <= F.col(key)))
     for level in levels[-2::-1]:
-        inside = lambda n, level=level: n * step + F.size(F.filter(F.slice(F.lit(level), n * step + 1, F.lit(step)), lambda c: c <= F.col(key)))
-        found = F.element_at(F.transform(F.array(found), inside), 1)
+        found = F.element_at(F.transform(F.array(found), _within(key, level, step)), 1)
     return F.when(F.col(key).isNull(), 0).otherwise(found)
+
+
+def _within(key: str, level: list[int], step: int) -> Callable[[Column], Column]:
+    """How many cut points of a level are at most the key, from how many of the coarser level are."""
+    return lambda n: n * step + F.size(F.filter(F.slice(F.lit(level), n * step + 1, F.lit(step)), lambda c: c <= F.col(key)))

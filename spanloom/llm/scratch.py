@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
-``spark.checkpoint.dir`` names it.  Where the setting is missing (local runs and tests) one local
-folder per process is used.  A written table cuts lineage like a reliable checkpoint does: a lost
+``spark.checkpoint.dir`` names it.  Where the setting is missing a local run (as in tests) uses one folder
+per process, and a cluster raises.  A written table cuts lineage like a reliable checkpoint does: a lost
 executor costs a reread, not a recomputation, and several consumers read the same rows.
 """
 
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="spanloom-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)

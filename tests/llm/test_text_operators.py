@@ -169,6 +169,16 @@ def test_language_counts_by_chunks(monkeypatch):
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
+def test_parts_by_levels(spark):
+    """The part of a key among few and many cut points is their number at or below it."""
+    from spanloom.llm import ranges
+
+    keys = [None, -5, 0, 1, 2, 3, 5000, 29_997, 29_998, 10**12, *range(100, 400)]
+    for cuts in ([], [1], list(range(0, 90, 3)), list(range(0, 30_000, 3))):
+        got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", ranges.part_of("k", cuts).alias("p")).collect()
+        assert all(r.p == (0 if r.k is None else sum(c <= r.k for c in cuts)) for r in got)
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 9 + 1), "abcde"[i % 5]) for i in range(4000)] + [(9001, None, "a"), (9002, "x y", None), (9002, "x y", None), (None, "x", "b"), (9003, "", "empty")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
