@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 
 def by_category(df: DataFrame, path: str, category: str, kind: str = "json") -> None:
     """A folder per category."""
@@ -17,11 +19,10 @@ def store(df: DataFrame, path: str, content: str) -> int:
     rows = df.withColumn("hash", F.sha2(F.coalesce(F.col(content), F.lit("")), 256)).dropDuplicates(["hash"])
     if _exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select("hash"), "hash", "left_anti")
-    rows = rows.persist()
-    n = rows.count()
-    rows.write.mode("append").parquet(path)
-    rows.unpersist()
-    return n
+    # What is new is written apart first, so that a lost executor can't compute it against the rows it adds.
+    fresh = written(rows, "fresh")
+    fresh.write.mode("append").parquet(path)
+    return fresh.count()
 
 
 def snapshot(df: DataFrame, path: str, keep: int = 3) -> int:
