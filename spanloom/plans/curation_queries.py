@@ -102,7 +102,7 @@ def size_bands(spark, d):
 def sample_quality(spark, d):
     """Mean quality of an image's instances and the share of a 100 by 100 image they cover."""
     s = _samples(spark, d)
-    return _six(s.select("image", curation.mean_of("instances", "stability_score").alias("stability"), curation.mean_of("instances", "predicted_iou").alias("iou"), curation.coverage_ratio("instances", F.lit(100.0), F.lit(100.0)).alias("coverage")), "coverage")
+    return _six(s.select("image", curation.mean_of("instances", "stability_score", 6).alias("stability"), curation.mean_of("instances", "predicted_iou", 6).alias("iou"), curation.coverage_ratio("instances", F.lit(100.0), F.lit(100.0)).alias("coverage")), "coverage")
 
 
 def area_statistics(spark, d):
@@ -259,7 +259,7 @@ ORACLE_SQL = {
     "comparison_suitable": f"{_PER} count(*) BETWEEN 2 AND 10 AND min(area) > 0 AND max(area) / min(area) BETWEEN 1.5 AND 50",
     "box_centres": f"WITH {_I} SELECT image, round(avg(x + w / 2), 6) AS x, round(avg(y + h / 2), 6) AS y, round(avg(w / h), 6) AS aspect FROM i GROUP BY image",
     "size_bands": f"WITH {_I} SELECT image, count(*) FILTER (WHERE area < 500) AS small, count(*) FILTER (WHERE area >= 500 AND area < 1500) AS medium, count(*) FILTER (WHERE area >= 1500) AS large, round(sum(area), 6) AS total_area FROM i GROUP BY image",
-    "sample_quality": f"WITH {_I} SELECT image, round_even(sum(stability ORDER BY id, category, x, y, w, h) / count(*), 4) AS stability, round_even(sum(iou ORDER BY id, category, x, y, w, h) / count(*), 4) AS iou, round(sum(area) / 10000, 6) AS coverage FROM i GROUP BY image",
+    "sample_quality": f"WITH {_I} SELECT image, round_even(sum(stability) / count(*), 6) AS stability, round_even(sum(iou) / count(*), 6) AS iou, round(sum(area) / 10000, 6) AS coverage FROM i GROUP BY image",
     "area_statistics": f"WITH {_CLASS} SELECT frequency, {_GEOMETRY.format('area')} FROM i JOIN f USING (category) GROUP BY frequency",
     "area_statistics_overall": f"WITH {_I} SELECT {_GEOMETRY.format('area')} FROM i",
     "vocabulary_coverage": "SELECT p_size, count(*) AS parts, count(*) FILTER (WHERE p_partkey IN (SELECT l_partkey FROM lineitem)) AS used, round(count(*) FILTER (WHERE p_partkey IN (SELECT l_partkey FROM lineitem)) / count(*), 6) AS ratio FROM part GROUP BY p_size",

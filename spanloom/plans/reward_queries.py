@@ -55,7 +55,8 @@ def step_coherence(spark, d):
 def total_reward(spark, d):
     """Weighted and plain sums of a sequence's rewards."""
     s = steps(spark, d)
-    both = rewards.tool_penalty(s, KEY, ORDER, 40).join(sequence.logical_flow(s, KEY, ORDER), KEY).join(sequence.tool_pattern(s, KEY, ORDER), KEY)
+    flow, pattern = _rounded(sequence.logical_flow(s, KEY, ORDER), "flow"), _rounded(sequence.tool_pattern(s, KEY, ORDER), "pattern")
+    both = rewards.tool_penalty(s, KEY, ORDER, 40).join(flow, KEY).join(pattern, KEY)
     weighted, plain = rewards.total({"flow": 0.7, "pattern": 0.3}, F.col("penalty"))
     return _rounded(both.select(KEY, weighted.alias("weighted"), plain.alias("plain")), "weighted", "plain")
 
