@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,12 +61,21 @@ def redact_hashed(text: Column, digits: int = 6) -> Column:
     together again, so no match is looked up.
     """
     for _, pattern, label, _ in CATALOG:
-        marks = F.transform(F.regexp_extract_all(text, F.lit(FLAGS + pattern), 0), lambda m, label=label: F.concat(F.lit(f"[{label}_"), F.substring(F.md5(m), 1, digits), F.lit("]")))
-        between = F.split(text, FLAGS + pattern, -1)
-        text = F.array_join(F.zip_with(between, F.concat(marks, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        text = F.element_at(F.transform(F.array(text), _hashed(FLAGS + pattern, label, digits)), 1)  # bound once, as it is read twice
     return text
 
 
+def _hashed(pattern: str, label: str, digits: int) -> Callable[[Column], Column]:
+    """What replaces a pattern's matches in a text."""
+
+    def body(text: Column) -> Column:
+        marks = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.concat(F.lit(f"[{label}_"), F.substring(F.md5(m), 1, digits), F.lit("]")))
+        between = F.split(text, pattern, -1)
+        return F.array_join(F.zip_with(between, F.concat(marks, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    return body
+
+
 def verify_anonymised(texts: dict[str, Column], forbidden: list[Column], flag: Column) -> Column:
     """What is wrong with an anonymised row: texts with personal data, fields that should be gone, no mark."""
     found = [F.when(sum((count(c, n) for n, *_ in CATALOG if n not in ("phone", "bank_account")), F.lit(0)) > 0, F.lit(f"personal data in {name}")) for name, c in texts.items()]
