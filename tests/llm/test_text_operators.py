@@ -241,3 +241,52 @@ def test_token_files(spark, texts, tmp_path):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     token_file.write(df.limit(0), f"file://{tmp_path}/e")
     assert token_file.read(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def _plain_grams(text):
+    """N-grams of a text as tuples of letters, 0 for a blank, the most frequent first."""
+    from collections import Counter
+
+    seq = [0]
+    for c in text:
+        x = (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 0
+        if x or seq[-1]:
+            seq.append(x)
+    if seq[-1]:
+        seq.append(0)
+    n = Counter((x,) for x in seq if x)
+    n.update(zip(seq, seq[1:], strict=False))
+    n.update(t for t in zip(seq, seq[1:], seq[2:], strict=False) if t[1])
+    return [g for g, _ in sorted(n.items(), key=lambda kv: (-kv[1], len(kv[0]), kv[0]))] if any(seq) else []
+
+
+def _code(gram):
+    out = 0
+    for x in gram:
+        out = out << 21 | x
+    return out | (0, 0, 1 << 43, 1 << 63)[len(gram)]
+
+
+def test_language_against_plain_lists():
+    """Predictions and scores of profiles made of plain lists, with ties, short texts and texts without letters."""
+    rng = np.random.default_rng(5)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(1, 7)))
+    langs = {"aa": "abcdeé", "bb": "defgh", "cc": "abghxß"}
+    tops = {k: _plain_grams(" ".join(word(v) for _ in range(400)))[: language.PROFILE] for k, v in langs.items()}
+    codes = np.unique(np.array([_code(g) for t in tops.values() for g in t], dtype=np.uint64))
+    ranks = np.full((len(codes), 3), language.PROFILE, dtype=np.int64)
+    for j, t in enumerate(tops.values()):
+        for at, g in enumerate(t):
+            ranks[np.searchsorted(codes, np.uint64(_code(g))), j] = at
+    profiles = language.Profiles(list(langs), codes, ranks)
+    texts = ["", " 12 ", "a", "É!", "x" * 50] + [" ".join(word("abcdefghxé, 1") for _ in range(rng.integers(1, 60))) for _ in range(60)]
+    for t in texts:
+        own = _plain_grams(t)[: language.DOC_GRAMS]
+        if not own:
+            assert profiles.predict(t) == (language.UNKNOWN, 0.0)
+            continue
+        place = [{g: i for i, g in enumerate(top)} for top in tops.values()]
+        costs = [sum(min(abs(p[g] - i), language.PROFILE) if g in p else language.PROFILE for i, g in enumerate(own)) for p in place]
+        best = costs.index(min(costs))
+        got = profiles.predict(t)
+        assert got[0] == list(langs)[best] and got[1] == pytest.approx(1 - costs[best] / (language.PROFILE * len(own)))
