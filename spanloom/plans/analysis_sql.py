@@ -105,7 +105,7 @@ ORACLE_SQL = {
     "proportional_subset": f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_place('doc_id')}, doc_id) AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE pos <= greatest(floor(n * 0.1::DOUBLE), 1)",
     "exact_splits": f"SELECT doc_id, CASE WHEN pos <= floor(n * 0.15::DOUBLE) THEN 'test' WHEN pos <= floor(n * 0.15::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_place('doc_id')}, doc_id) AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents)",
     "priority_sample": f"SELECT o_orderkey FROM orders ORDER BY ln(greatest(('0x' || substr({_place('o_orderkey')}, 1, 8))::BIGINT / 4294967296.0::DOUBLE, 1e-12)) / o_totalprice DESC, o_orderkey LIMIT 50",
-    "strided_sampling": "SELECT doc_id FROM documents WHERE doc_id % greatest((SELECT count(*) FROM documents) // 100, 1) = 0",
+    "strided_sampling": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) WHERE pos % greatest((SELECT count(*) FROM documents) // 100, 1) = 0",
     "category_rollup": "SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
     "variable_fps_range_join": "WITH s(lo, hi, fps) AS (VALUES (0.0::DOUBLE, 100.0::DOUBLE, 24.0::DOUBLE), (100, 400, 29.97), (400, 800, 60)), e AS (SELECT (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000000 / 3600.0::DOUBLE AS h FROM events) SELECT fps, count(*) AS n, sum(floor(h * fps))::BIGINT AS frames FROM e JOIN s ON h >= lo AND h < hi GROUP BY fps",
     "curriculum_asof_weights": "WITH o AS (SELECT datediff('day', DATE '1992-01-01', o_orderdate::DATE) * 3 AS day FROM orders) SELECT CASE WHEN day >= 5000 THEN 0.1::DOUBLE WHEN day >= 1000 THEN 0.5 ELSE 1 END AS weight, count(*) AS n FROM o WHERE day >= 0 GROUP BY ALL",
