@@ -1,25 +1,17 @@
-"""Embedding near-dedup by a subspace pigeonhole join.
+"""Embedding near-dedup by a join of packed chunks with a subspace filter.
 
-Unit vectors with cosine at least ``t`` are at squared distance at most ``2 - 2 t``.  A fixed rotation
-spreads a vector's energy evenly over blocks of ``BLOCK`` dimensions; each block gets a share of that
-budget in proportion to its dimensions, and a pair within the whole budget is within the share of at
-least one block.  So each block is range-joined by itself, and the cosine of the vectors themselves, in
-double precision, decides on what comes up.  A pair counts in the first block that brings it up.
+Unit vectors with cosine at least ``t`` are at squared distance at most ``2 - 2 t``, and so are their first
+coordinates after any rotation.  A fixed rotation spreads a vector's energy evenly, so that ``width`` of its
+coordinates tell most pairs apart: one matrix product in single precision over these, with room for its
+rounding, finds candidates, and the cosine of the vectors themselves, in double precision, decides.
 
-Range join of a block: each coordinate is cut at its mean, and the sides of the first ``bits`` cuts are a
-vector's cell (its home).  To reach a cell beyond a cut costs the squared distance to the cut, summed
-over the cuts between.  Where a pair is parted by cuts, the two costs together are at most the pair's
-squared distance, so one of the two reaches the other's home for half the budget: it goes there as a
-guest.  The cheaper of the two (of equal ones the smaller id) is the guest that counts.  ``bits`` grows
-with the logarithm of the rows, so that cells keep their size on average.
+Every row is compared with every other one, so seconds grow with the square of the rows; what is written
+grows with the rows.  Distinct vectors are packed into chunks of at most ``CHUNK`` rows, one row of a written
+table each.  A Cartesian product of that table with itself reads the chunks again and shuffles none; each
+pair of chunks meets once, in one of its two orders by a hash, so that tasks share the pairs.
 
-A task joins the homes of one cell, at most ``CHUNK``, with one another or with at most ``CHUNK`` guests;
-more rows make more tasks.  Inside, further cuts make leaves (of ``LEAF`` homes on average), rows reach them
-at the same costs and for the same half of the budget, and what is left is a matrix product over the
-block's dimensions.
-
-Equal vectors are collapsed before the join.  What leaves a task is a link count per vector and a
-spanning star per component, not pairs.
+Equal vectors are collapsed before the join, and are found again by 128 bits of hashes.  What leaves a task
+is a link count per vector and a spanning star per component, not pairs.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link with
 nothing; vectors of different lengths don't link; rows with equal vectors link with one another, also if
@@ -34,20 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, min_labels
 from .scratch import table
-from .units import settle
 
 THRESHOLD = 0.9
-BLOCK = 16
-CHUNK = 4096
-LEAF = 128
-_SLACK = 1e-7
-#: Pairs that are verified at a time.
-_PAIRS = 1 << 15
+#: Rows of a chunk, and numbers in its vectors.
+CHUNK = 1 << 14
+CELLS = 1 << 20
+#: Rows and columns of a tile of the product; the columns are a multiple of 8.
+_TILE = (512, 1024)
+#: Links that are counted at a time, and linked rows that a task combines.
+_PAIRS = 1 << 18
+_ROWS = 1 << 20
 
 
 @functools.cache
@@ -57,12 +50,10 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-@functools.cache
-def blocks(dim: int) -> list[tuple[int, int]]:
-    """The dimensions of each block, as evenly as they go."""
-    n = max(1, dim // BLOCK)
-    ends = [dim * (i + 1) // n for i in range(n)]
-    return list(zip([0, *ends[:-1]], ends, strict=True))
+def width(dim: int, threshold: float) -> int:
+    """Coordinates by which all but some 3 in 10,000 pairs of random vectors are told apart."""
+    room = 4 * max(0.0, 1 - threshold) * dim
+    return min(dim, math.ceil(((3.6 + math.sqrt(13 + room)) / 2) ** 2))
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -72,108 +63,58 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def share(dim: int, lo: int, hi: int, threshold: float) -> float:
-    """The squared-distance budget of a block."""
-    return (2 - 2 * threshold + _SLACK) * (hi - lo) / dim
-
-
-class Layout:
-    """Where the coordinates of each length of vector are cut, and how many cuts make a cell."""
-
-    def __init__(self, stats: dict[int, tuple[int, np.ndarray]], chunk: int):
-        self.centre = {dim: (total / n) @ rotation(dim) for dim, (n, total) in stats.items()}
-        wanted = lambda n, most: max(0, math.ceil(math.log2(n / most)))
-        self.bits = {dim: wanted(n, chunk) for dim, (n, _) in stats.items()}
-        self.deep = {dim: max(self.bits[dim], wanted(n, LEAF)) for dim, (n, _) in stats.items()}
-
-    def turned(self, x: np.ndarray) -> np.ndarray:
-        """Unit vectors after the rotation, from the cuts."""
-        return x @ rotation(x.shape[1]) - self.centre[x.shape[1]]
-
-    def cuts(self, dim: int, lo: int, hi: int) -> tuple[int, int]:
-        """How many cuts make the cells of a block, and how many its leaves."""
-        return min(self.bits[dim], hi - lo), min(self.deep[dim], hi - lo)
-
-
-def places(x: np.ndarray, layout: Layout, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """``block, rows, cells, homes`` of unit vectors, for every cell each of them has to be in."""
-    dim = x.shape[1]
-    turned = layout.turned(x)
-    for k, (lo, hi) in enumerate(blocks(dim)):
-        bits, _ = layout.cuts(dim, lo, hi)
-        y = turned[:, lo : lo + bits]
-        home = (y >= 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), dtype=np.int64)
-        cost, half = y * y, share(dim, lo, hi, threshold) / 2 + _SLACK
-        rows, cell, spent = np.arange(len(x)), home.astype(np.int64), np.zeros(len(x))
-        for i in range(bits):
-            more = spent + cost[rows, i]
-            go = more <= half
-            rows, cell, spent = np.concatenate([rows, rows[go]]), np.concatenate([cell, cell[go] ^ (1 << i)]), np.concatenate([spent, more[go]])
-        yield k, rows, cell, home[rows]
-
-
 def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Equal-length lists of a batch as a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _by_length(batch: pa.RecordBatch, at: int, rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose vectors have one length."""
+def _by_length(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose vectors have one length."""
     sizes = batch.column(at).value_lengths().to_numpy(zero_copy_only=False)
     for dim in np.unique(sizes):
-        some = batch.take(pa.array(np.flatnonzero(sizes == dim)))
-        for lo in range(0, some.num_rows, rows):
-            yield some.slice(lo, rows)
+        yield batch.take(pa.array(np.flatnonzero(sizes == dim)))
 
 
-def layout(classes: DataFrame, chunk: int) -> Layout:
-    """Counts and means per length of vector; one row per component reaches the driver."""
+def packed(classes: DataFrame, chunk: int) -> DataFrame:
+    """``classes`` (longs, then the vector) as chunks: ``dim, at, (the longs as arrays), vector``."""
+    *longs, vector = classes.columns
+    kind = np.float32 if classes.schema[vector].dataType.simpleString() == "array<float>" else np.float64
+    schema = "dim int, at long, " + ", ".join(f"{c} array<long>" for c in longs) + ", vector binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for rows in _by_length(batch, 0):
-                x = unit(_vectors(rows.column(0)))
-                held = sums.setdefault(x.shape[1], [0, np.zeros(x.shape[1])])
-                held[0] += len(x)
-                held[1] += x.sum(axis=0)
-        for dim, (n, total) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(dim, dim, dtype=np.int32)), pa.array(np.arange(dim, dtype=np.int32)), pa.array(np.full(dim, n)), pa.array(total)], names=["dim", "at", "n", "total"])
-
-    found = classes.select("vector").mapInArrow(run, "dim int, at int, n long, total double").groupBy("dim", "at").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    stats: dict[int, tuple[int, np.ndarray]] = {}
-    for dim, at, n, total in sorted(map(tuple, found.collect())):
-        stats.setdefault(dim, (n, np.zeros(dim)))[1][at] = total
-    return Layout(stats, chunk)
-
-
-def placed(classes: DataFrame, plan: Layout, threshold: float, vectors: bool) -> DataFrame:
-    """Rows of ``placed`` cells; with the vectors, or without them for counting."""
-    kind = classes.schema["vector"].dataType.simpleString()
-    schema = "dim int, block int, cell long, own long, id long, size long" + (f", vector {kind}" if vectors else "")
+    def row(dim: int, columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+        *ids, x = (np.concatenate(c) for c in columns)
+        made = [pa.array([dim], pa.int32()), pa.array([ids[0][0]], pa.int64()), *[pa.array([c], pa.list_(pa.int64())) for c in ids], pa.array([x.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(made, names=["dim", "at", *longs, "vector"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[np.ndarray]]] = {}
         for batch in batches:
-            for rows in _by_length(batch, 2):
-                x = unit(_vectors(rows.column(2)))
-                for block, at, cell, home in places(x, plan, threshold):
-                    n = len(at)
-                    some = rows.take(pa.array(at))
-                    made = [pa.array(np.full(n, x.shape[1], dtype=np.int32)), pa.array(np.full(n, block, dtype=np.int32)), pa.array(cell), pa.array(home.astype(np.int64)), some.column(0), some.column(1)]
-                    yield pa.RecordBatch.from_arrays([*made, *([some.column(2)] if vectors else [])], names=["dim", "block", "cell", "own", "id", "size", *(["vector"] if vectors else [])])
-
-    return classes.select("id", "size", "vector").mapInArrow(run, schema)
+            for rows in _by_length(batch, len(longs)):
+                x = _vectors(rows.column(len(longs))).astype(kind)
+                dim, lo = x.shape[1], 0
+                most = max(1, min(chunk, CELLS // dim))
+                while lo < len(x):
+                    kept = held.setdefault(dim, [[] for _ in range(len(longs) + 1)])
+                    hi = lo + most - sum(map(len, kept[-1]))
+                    for c, new in zip(kept, [*(rows.column(i).to_numpy() for i in range(len(longs))), x], strict=True):
+                        c.append(new[lo:hi])
+                    if hi <= len(x):
+                        yield row(dim, held.pop(dim))
+                    lo = hi
+        for dim, kept in held.items():
+            yield row(dim, kept)
+
+    return classes.mapInArrow(run, schema)
 
 
 class _Links:
-    """What a task has found: a link count per row and stars over the linked rows."""
+    """What a pair of chunks has: a link count per row and stars over the linked rows."""
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray):
         self.ids, self.sizes = ids, sizes
         self.count = np.zeros(len(ids), dtype=np.int64)
         self.label = np.arange(len(ids))
-        self.pairs = 0
 
     def add(self, p: np.ndarray, q: np.ndarray) -> None:
         """Counts links; of their components only stars are kept."""
@@ -187,81 +128,112 @@ class _Links:
             moved[nodes] = least
             self.label = moved[self.label]
 
-    def rows(self) -> pa.Table:
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``id, n, least`` of the linked rows; ``least`` is the smallest id of a row's star."""
         least = np.full(len(self.ids), np.iinfo(np.int64).max)
         np.minimum.at(least, self.label, self.ids)
         linked = np.flatnonzero(self.count)
-        return pa.table({"id": pa.array(self.ids[linked], pa.int64()), "n": pa.array(self.count[linked]), "least": pa.array(least[self.label[linked]], pa.int64())})
-
-
-def join(x: np.ndarray, turned: np.ndarray, block: int, cuts: tuple[int, int], away: np.ndarray, guests: np.ndarray, homes: np.ndarray, threshold: float, out: _Links) -> None:
-    """Links of ``guests`` with the ``homes`` that they reach (both are rows of ``x``); ``away``: the cuts between a row's home and this cell."""
-    dim = x.shape[1]
-    parts = blocks(dim)
-    lo, hi = parts[block]
-    budget = share(dim, lo, hi, threshold)
-    bits, more = cuts[0], cuts[1] - cuts[0]
-    y = turned[:, lo : lo + cuts[1]]
-    side, cost = y >= 0, y * y
-    crossed = (away[guests, None] >> np.arange(bits)) & 1
-    spent = (cost[guests, :bits] * crossed).sum(axis=1)
-    inner, above = cost[guests, bits:], side[guests, bits:]
-    leaf = side[homes, bits:] @ (1 << np.arange(more)) if more else np.zeros(len(homes), dtype=np.int64)
-    order = np.argsort(leaf, kind="stable")
-    leaves, first = np.unique(leaf[order], return_index=True)
-    wanted = (leaves[:, None] >> np.arange(more)) & 1
-    total = spent[:, None] + (inner * above) @ (1 - wanted).T + (inner * ~above) @ wanted.T
-    reach = total <= budget / 2 + _SLACK
-    low = turned[:, lo:hi].astype(np.float32)
-    norm, one = (low * low).sum(axis=1, keepdims=True), np.ones((len(low), 1), dtype=np.float32)
-    # One product gives the squared distance less the budget; single precision finds candidates, with room to spare.
-    left, right = np.hstack([-2 * low, one, norm - np.float32(budget + 1e-5)]), np.hstack([low, norm, one])
-    for i, ends in enumerate(np.append(first[1:], len(order))):
-        h = homes[order[first[i] : ends]]
-        turned_h = np.ascontiguousarray(right[h].T)
-        g = guests[reach[:, i]]
-        for a in range(0, len(g), 4096):
-            some = g[a : a + 4096]
-            near = np.flatnonzero((left[some] @ turned_h <= 0).ravel())
-            out.pairs += len(some) * len(h)
-            for j in range(0, len(near), _PAIRS):
-                p, q = np.divmod(near[j : j + _PAIRS], len(h))
-                m, n = some[p], h[q]
-                close = (x[m] * x[n]).sum(axis=1) >= threshold
-                m, n = m[close], n[close]
-                apart = side[m] != side[n]
-                mine, theirs = np.round((cost[m] * apart).sum(axis=1), 12), np.round((cost[n] * apart).sum(axis=1), 12)
-                counts = (mine < theirs) | ((mine == theirs) & (out.ids[m] < out.ids[n]))
-                m, n = m[counts], n[counts]
-                squares = (turned[m] - turned[n]) ** 2
-                for k, (c, d) in enumerate(parts[: block + 1]):
-                    inside = np.round(squares[:, c:d].sum(axis=1), 12) <= share(dim, c, d, threshold)
-                    keep = inside if k == block else ~inside
-                    m, n, squares = m[keep], n[keep], squares[keep]
-                out.add(m, n)
-
-
-def _join(group: pa.Table, plan: Layout, threshold: float) -> pa.Table:
-    rows = group.combine_chunks()
-    x = unit(_vectors(rows["vector"]))
-    turned = plan.turned(x)
-    block = rows["block"][0].as_py()
-    cuts = plan.cuts(x.shape[1], *blocks(x.shape[1])[block])
-    away = rows["own"].to_numpy() ^ rows["cell"].to_numpy()
-    right = rows["right"].to_numpy(zero_copy_only=False)
-    out = _Links(rows["id"].to_numpy(), rows["size"].to_numpy())
-    one, two = np.flatnonzero(~right), np.flatnonzero(right)
-    if rows["same"][0].as_py():
-        sides = [(one, one)]
-    elif rows["with_guests"][0].as_py():
-        sides = [(two, one)]
-    else:
-        sides = [(one, two), (two, one)]
-    for guests, homes in sides:
-        if len(guests) and len(homes):
-            join(x, turned, block, cuts, away, guests, homes, threshold, out)
-    return out.rows()
+        return self.ids[linked], self.count[linked], least[self.label[linked]]
+
+
+class Side:
+    """A chunk's unit vectors, and their first coordinates as both sides of a product that is not negative for candidates."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, threshold: float):
+        self.ids, self.sizes, self.x = ids, sizes, unit(raw)
+        n, dim = self.x.shape
+        low = (self.x @ rotation(dim)[:, : width(dim, threshold)]).astype(np.float32)
+        half, one = (low.astype(np.float64) ** 2).sum(axis=1, keepdims=True) / 2, np.ones((n, 1))
+        slack = 4e-7 * (low.shape[1] + 8)  # more than single precision loses
+        self.left = np.hstack([low, 1 - threshold + slack - half, one]).astype(np.float32)
+        right = np.hstack([low, one, -half]).astype(np.float32)
+        none = np.zeros((-n % 8, right.shape[1]), dtype=np.float32)  # to a multiple of 8; no candidates
+        none[:, -1] = -8
+        right = np.concatenate([right, none])
+        self.right = [np.ascontiguousarray(right[j : j + _TILE[1]].T) for j in range(0, len(right), _TILE[1])]
+
+
+def join(one: Side, two: Side, threshold: float) -> _Links:
+    """Links between two chunks, or within one."""
+    same = one is two
+    out = _Links(one.ids, one.sizes) if same else _Links(np.concatenate([one.ids, two.ids]), np.concatenate([one.sizes, two.sizes]))
+    at = 0 if same else len(one.ids)
+    verified = max(1, (1 << 21) // one.x.shape[1])
+    product, flags = np.empty(_TILE[0] * _TILE[1], dtype=np.float32), np.empty(_TILE[0] * _TILE[1], dtype=bool)
+    found, n = [], 0
+    for i in range(0, len(one.left), _TILE[0]):
+        left = one.left[i : i + _TILE[0]]
+        for j, right in enumerate(two.right):
+            cols, first = right.shape[1], j * _TILE[1]
+            if same and first + cols <= i:
+                continue
+            cells = len(left) * cols
+            np.matmul(left, right, out=product[:cells].reshape(len(left), cols))
+            near = np.greater_equal(product[:cells], np.float32(0), out=flags[:cells])
+            words = np.flatnonzero(near.view(np.uint64) != 0)
+            cell = (words[:, None] * 8 + np.arange(8))[near.reshape(-1, 8)[words]]
+            for k in range(0, len(cell), verified):
+                p, q = np.divmod(cell[k : k + verified], cols)
+                p, q = p + i, q + first
+                if same:
+                    p, q = p[p < q], q[p < q]
+                close = (one.x[p] * two.x[q]).sum(axis=1) >= threshold
+                found.append((p[close], q[close] + at))
+                n += len(found[-1][0])
+                if n >= _PAIRS:
+                    out.add(*map(np.concatenate, zip(*found, strict=True)))
+                    found, n = [], 0
+    if n:
+        out.add(*map(np.concatenate, zip(*found, strict=True)))
+    return out
+
+
+def linked(chunks: DataFrame, kind: type, threshold: float) -> DataFrame:
+    """``id, n, least`` of linked vectors, from every pair of chunks; an id may come once per task."""
+    one = chunks.select("dim", "at", "id", "size", "vector")
+    two = one.select(*[F.col(c).alias(f"{c}_2") for c in one.columns])
+    odd = F.pmod(F.xxhash64(F.least("at", "at_2"), F.greatest("at", "at_2")), F.lit(2)) == 1
+    once = (F.col("at") == F.col("at_2")) | ((F.col("at") != F.col("at_2")) & ((F.col("at") < F.col("at_2")) == odd))
+    pairs = one.crossJoin(two.hint("shuffle_replicate_nl")).filter((F.col("dim") - F.col("dim_2") == 0) & once)
+
+    def combined(parts: list[tuple]) -> pa.RecordBatch:
+        ids, n, least = map(np.concatenate, zip(*parts, strict=True))
+        nodes, star = min_labels(ids, least)
+        total = np.bincount(np.searchsorted(nodes, ids), weights=n, minlength=len(nodes)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(total), pa.array(star)], names=["id", "n", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[str, tuple[int, Side]] = {}
+
+        def side(batch: pa.RecordBatch, i: int, end: str) -> Side:
+            get = lambda c: batch.column(c + end)[i]
+            at = get("at").as_py()
+            if end not in sides or sides[end][0] != at:
+                raw = np.frombuffer(get("vector").as_buffer(), dtype=kind).reshape(-1, get("dim").as_py())
+                sides[end] = at, Side(get("id").values.to_numpy(), get("size").values.to_numpy(), raw, threshold)
+            return sides[end][1]
+
+        parts, n = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a = side(batch, i, "")
+                b = a if batch.column("at")[i].as_py() == batch.column("at_2")[i].as_py() else side(batch, i, "_2")
+                rows = join(a, b, threshold).rows()
+                if len(rows[0]):
+                    parts.append(rows)
+                    n += len(rows[0])
+                if n >= _ROWS:
+                    yield combined(parts)
+                    parts, n = [], 0
+        if parts:
+            yield combined(parts)
+
+    return pairs.mapInArrow(run, "id long, n long, least long")
+
+
+def _digest(vector: str, seed: int) -> Column:
+    """64 bits of a vector, the same for both zeros."""
+    return F.xxhash64(F.lit(seed), F.transform(vector, lambda x: x.cast("double") + F.lit(0.0)))
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
@@ -271,33 +243,19 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     good = F.col("__vector").isNotNull() & F.forall("__vector", finite) & F.exists("__vector", lambda v: v != 0)
     rows = rows.withColumn("__vector", F.when(good, F.col("__vector")))
     whole = rows.filter("__vector IS NOT NULL").groupBy("__vector").agg(F.min("__id").alias("least"), F.count("*").alias("size"))
-    classes = table(whole.select(F.monotonically_increasing_id().alias("id"), "least", "size", F.col("__vector").alias("vector")), "vectors")
-
-    plan = layout(classes, chunk)
-    home = F.col("cell") == F.col("own")
-    counted = placed(classes, plan, threshold, False).groupBy("dim", "block", "cell").agg(
-        F.ceil(F.count(F.when(home, 1)) / chunk).cast("int").alias("homes"),
-        F.ceil(F.count(F.when(~home, 1)) / chunk).cast("int").alias("guests"),
-    )
-    cells = table(counted.filter("homes > 0"), "cells")  # written, so that its size decides how it is joined
-    chunks = F.when(home, F.col("homes")).otherwise(F.col("guests"))
-    both = placed(classes, plan, threshold, True).join(cells, ["dim", "block", "cell"]).withColumn("mine", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    # A task is (guests?, left chunk, right chunk); homes meet the homes of their own and later chunks, then all guests.
-    task = lambda g, a, b, right, same: F.struct(g.alias("with_guests"), a.alias("a"), b.alias("b"), right.alias("right"), same.alias("same"))
-    no, yes = F.lit(False), F.lit(True)
-    with_homes = F.transform(upto(F.col("homes")), lambda i: task(no, F.least(i, F.col("mine")), F.greatest(i, F.col("mine")), F.col("mine") > i, i == F.col("mine")))
-    with_guests = F.transform(upto(F.col("guests")), lambda i: task(yes, F.col("mine"), i, no, no))
-    as_guest = F.transform(upto(F.col("homes")), lambda i: task(yes, i, F.col("mine"), yes, no))
-    spread = both.withColumn("task", F.explode(F.when(home, F.concat(with_homes, with_guests)).otherwise(as_guest))).select("dim", "block", "cell", "own", "id", "size", "vector", "task.*")
-    joined = spread.groupBy("dim", "block", "cell", "with_guests", "a", "b").applyInArrow(lambda t: _join(t, plan, threshold), "id long, n long, least long")
-    found = table(joined.groupBy("id", "least").agg(F.sum("n").alias("n")), "embedding-links")
+    classes = whole.select(F.monotonically_increasing_id().alias("id"), "least", "size", _digest("__vector", 1).alias("h1"), _digest("__vector", 2).alias("h2"), F.col("__vector").alias("vector"))
+    kind = np.float32 if df.schema[vector].dataType.simpleString() == "array<float>" else np.float64
+    # One chunk a file, so that the readers deal them out evenly.
+    chunks = table(packed(classes, chunk), "vectors", 1)
+    found = table(linked(chunks, kind, threshold), "embedding-links")
 
     parts = components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    named = classes.select("id", "least", "size", F.col("vector").alias("__v")).join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left").withColumn("__group", F.coalesce("component", "id"))
+    named = chunks.select(F.inline(F.arrays_zip("id", "least", "size", "h1", "h2")))
+    named = named.join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left").withColumn("__group", F.coalesce("component", "id"))
     smallest = named.groupBy("__group").agg(F.min("least").alias("component_id"))
-    per_class = named.join(smallest, "__group").select("__v", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
-    out = rows.join(per_class, F.col("__vector") == F.col("__v"), "left")
+    per_class = named.join(smallest, "__group").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
+    keyed = rows.select("__id", F.when(F.col("__vector").isNotNull(), _digest("__vector", 1)).alias("h1"), F.when(F.col("__vector").isNotNull(), _digest("__vector", 2)).alias("h2"))
+    out = keyed.join(per_class, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "__id")
     return out.select(F.col("__id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("__id") == component).alias("kept"))

@@ -30,9 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once and returns the written table."""
+def table(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+    """Writes ``df`` once, with at most ``rows`` (where not 0) in a file, and returns the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

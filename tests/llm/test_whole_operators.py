@@ -1,10 +1,11 @@
 """Operators that once did less than the whole job."""
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import pii, url_trust
+from spanloom.llm import embedding_dedup, pii, url_trust
 
 
 def test_trust_reaches_hosts_beyond_ten_links(spark):
@@ -45,3 +46,24 @@ def test_values_beside_short_neighbours(spark):
         assert len(new) == len(text) and new.startswith(before) and new.endswith(after) and value not in new
     alone = pii.pseudonymise(spark.createDataFrame([("4111 1111 1111 1111",)], "text string"), "k").first().text
     assert got["invoice 12 4111 1111 1111 1111"] == f"invoice 12 {alone}" and got["4111 1111 1111 1111 12"] == f"{alone} 12"
+
+
+def test_vectors_are_not_copied(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((2003, 64)).astype(np.float32)
+    x[1500:] = x[:503] + 0.3 * rng.standard_normal((503, 64))
+    x[700:720] = x[3]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return store.executorSummary("driver").totalShuffleWrite()
+
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    before = shuffled()
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, chunk=300).collect()}
+    assert shuffled() - before < 3 * x.nbytes
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = (y @ y.T >= 0.9).sum(axis=1) - 1
+    assert got == dict(enumerate(want.tolist())) and 0 < (want > 0).sum() < 1500
