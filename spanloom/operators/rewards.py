@@ -7,6 +7,7 @@ sequence too short for a score gets 0.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,11 +139,13 @@ def adjust_beta(rows: DataFrame, key: str, order: Sequence[str], value: str, tar
     """``key, beta, raised, lowered``: a controller that follows the mean of the last values.
 
     From the ``least``-th value on beta is multiplied by ``factor`` where the mean is above
-    ``target * (1 + tolerance)`` and divided where it is below ``target * (1 - tolerance)``.
+    ``target * (1 + tolerance)`` and divided where it is below ``target * (1 - tolerance)``; the bounds are
+    taken of the decimal numbers (50 and 0.1 make 55, not the next number above it).
     """
+    above, below = (float(Decimal(str(target)) * (1 + side * Decimal(str(tolerance)))) for side in (1, -1))
     w = Window.partitionBy(key).orderBy(*order)
     mean = rows.withColumn("__n", F.row_number().over(w)).withColumn("__mean", F.avg(value).over(w.rowsBetween(1 - window, 0)))
-    turn = F.when(F.col("__n") < least, 0).when(F.col("__mean") > target * (1 + tolerance), 1).when(F.col("__mean") < target * (1 - tolerance), -1).otherwise(0)
+    turn = F.when(F.col("__n") < least, 0).when(F.col("__mean") > above, 1).when(F.col("__mean") < below, -1).otherwise(0)
     # Turns are one byte each; a fold over them clamps step by step.
     turns = mean.select(key, F.struct(F.col("__n"), turn.alias("t")).alias("s")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.t).alias("turns"))
     beta = F.aggregate("turns", F.lit(start), lambda b, t: clip(F.when(t > 0, b * factor).when(t < 0, b / factor).otherwise(b), low, high))

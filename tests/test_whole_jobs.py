@@ -2,8 +2,10 @@
 
 import datetime
 import itertools
+import os
 import re
 
+import duckdb
 import pytest
 
 from spanloom import plans
@@ -22,6 +24,17 @@ def folder(spark, tmp_path):
     return write
 
 
+def _matches_sql(spark, d, name, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet{'/*.parquet' if os.path.isdir(f'{d}/{t}.parquet') else ''}'")
+    found = con.sql(plans.ORACLE_SQL[name])
+    got = plans.QUERIES[name](spark, d).select(*found.columns).collect()
+    nine = lambda rows: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+    assert nine(got) == nine(found.fetchall())
+    return got
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -121,3 +134,13 @@ def test_tracking_scores_all_events(spark, folder):
     for user, (n, _, hits) in want.items():
         r = got[user]
         assert (r.n_true, r.misses, r.extra) == (n, n - len(hits), n - len(hits)) and r.motp == pytest.approx(sum(hits) / len(hits))
+
+
+def test_controller_at_its_bound(spark, folder):
+    # The mean of all fourteen, in their order, is the next number above 55.
+    values = [51.05, 127.51, 49.33, 65.94, 74.99, 31.04, 55.51, 35.44, 30.89, 40.45, 70.85, 37.32, 60.28, 39.4]
+    rows = [(i, datetime.datetime(2024, 1, 1, i), 1, v) for i, v in enumerate(values)]
+    d = folder(events=(rows, "event_id long, ts timestamp_ntz, user_id long, value double"))
+    mean = sum(itertools.islice(itertools.accumulate(values), 13, 14)) / 14
+    assert 55 < mean <= 50 * (1 + 0.1)
+    assert _matches_sql(spark, d, "beta_controller", "events")[0].raised >= 1
