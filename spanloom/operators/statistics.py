@@ -15,6 +15,19 @@ def profile(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return out.select(*by, "n", "mean", "std", "min", "max", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate((50, 90, 95, 99))])
 
 
+def with_totals(parts: DataFrame, by: str, part: str) -> DataFrame:
+    """``parts`` (``n, mean, std, low, high``, the sum ``s`` and number ``k`` of values that aren't null) and, with a null ``part``, the same of each ``by``."""
+    k = F.sum("k")
+    means = parts.groupBy(by).agg(F.try_divide(F.sum("s"), k).alias("__mean")).withColumnRenamed(by, "__by")
+    apart = F.col("mean") - F.col("__mean")
+    spread = F.sum(F.col("k") * (F.col("std") * F.col("std") + apart * apart))
+    totals = parts.join(means, F.col(by).eqNullSafe(F.col("__by"))).groupBy(by).agg(
+        F.lit(None).cast(parts.schema[part].dataType).alias(part), F.sum("n").alias("n"), F.first("__mean").alias("mean"), F.sqrt(F.try_divide(spread, k)).alias("std"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("s").alias("s"), k.alias("k"),
+    )
+    return parts.unionByName(totals)
+
+
 def fleiss_kappa(df: DataFrame, item: str, category: str) -> DataFrame:
     """Fleiss' kappa; 1 where chance agreement is full.
 

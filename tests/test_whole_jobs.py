@@ -144,3 +144,7 @@ def test_controller_at_its_bound(spark, folder):
     mean = sum(itertools.islice(itertools.accumulate(values), 13, 14)) / 14
     assert 55 < mean <= 50 * (1 + 0.1)
     assert _matches_sql(spark, d, "beta_controller", "events")[0].raised >= 1
+
+
+def test_totals_at_a_tie(spark):
+    _matches_sql(spark, "/root/testdata/sf0.01", "metric_overall", "lineitem")
