@@ -12,14 +12,15 @@ def _instances(spark, d):
     li = read(spark, d, "lineitem")
     h = F.col("l_extendedprice") / 1000
     return li.select(
+        F.struct("_metadata.file_path", "_metadata.row_index").alias("stored"),
         F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("id"), F.concat(F.lit("c"), (F.col("l_partkey") % 40).cast("string")).alias("category"),
         F.array((F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double"), F.col("l_quantity"), h).alias("bbox"),
         (F.col("l_quantity") * h).alias("area"), (1 - F.col("l_discount")).alias("predicted_iou"), (1 - F.col("l_tax")).alias("stability_score"),
     )
 
 
-def _samples(spark, d):
-    fields = ("id", "category", "bbox", "area", "predicted_iou", "stability_score")
+def _samples(spark, d, *first):
+    fields = (*first, "id", "category", "bbox", "area", "predicted_iou", "stability_score")
     return curation.gather(_instances(spark, d), "image", **{f: F.col(f) for f in fields})
 
 
@@ -100,9 +101,11 @@ def size_bands(spark, d):
 
 
 def sample_quality(spark, d):
-    """Mean quality of an image's instances and the share of a 100 by 100 image they cover."""
-    s = _samples(spark, d)
-    return _six(s.select("image", curation.mean_of("instances", "stability_score", 6).alias("stability"), curation.mean_of("instances", "predicted_iou", 6).alias("iou"), curation.coverage_ratio("instances", F.lit(100.0), F.lit(100.0)).alias("coverage")), "coverage")
+    """Mean quality of an image's instances and the share of a 100 by 100 image they cover, both summed in the order in which rows are stored."""
+    s = _samples(spark, d, "stored")
+    q = s.select("image", curation.mean_of("instances", "stability_score", 6).alias("stability"), curation.mean_of("instances", "predicted_iou", 6).alias("iou"), curation.coverage_ratio("instances", F.lit(100.0), F.lit(100.0)).alias("coverage"))
+    # As the SQL rounds: the product's fraction decides, not the number's shortest decimal form.
+    return q.withColumn("coverage", F.round(F.col("coverage") * 1e6) / 1e6)
 
 
 def area_statistics(spark, d):

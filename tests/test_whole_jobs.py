@@ -148,3 +148,7 @@ def test_controller_at_its_bound(spark, folder):
 
 def test_totals_at_a_tie(spark):
     _matches_sql(spark, "/root/testdata/sf0.01", "metric_overall", "lineitem")
+
+
+def test_coverage_at_ties(spark):
+    _matches_sql(spark, "/root/testdata/sf0.01", "sample_quality", "lineitem")
